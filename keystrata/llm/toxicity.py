@@ -31,11 +31,11 @@ _LETTERS[48:58] = _LETTERS[97:123] = _LETTERS[128:] = True
 class Ftrl:
     """Parameters of FTRL-proximal."""
 
-    alpha: float = 0.12
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.2
-    l2: float = 0.2
-    epochs: int = 2
+    l1: float = 3.0
+    l2: float = 0.0
+    epochs: int = 4
 
 
 def _bytes(texts: pa.Array) -> list[bytes]:
