@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keystrata.llm import chat, jaccard, packing, secrets, toxicity
+from keystrata.llm import chat, jaccard, mixing, packing, secrets, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +26,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources mixed so that none is repeated more than 1.5 times as often as another, none less than once."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs, max_repeat=1.5)
+    return mixed.select("doc_id", F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), *(F.round(f"_{c}", 6).alias(c) for c in ("copies", "weight")), F.round("_order", 6).alias("mix_order"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that five-word shingles link at a similarity of 0.75 or more."""
     return jaccard.similar_groups(_read(spark, sf_dir, "documents"))
@@ -43,6 +51,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mixing": op2_source_mixing,
     "op3_jaccard_join": op3_jaccard_join,
     "op5_secret_scan": op5_secret_scan,
     "op6_chat_formatting": op6_chat_formatting,
@@ -50,6 +59,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {
+    "op2_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, CASE WHEN length(text) > 0 THEN length(text) - length(translate(text, ' ' || chr(10), '')) + 1 ELSE 0 END AS n FROM documents),
+s AS (SELECT source, sum(n)::DOUBLE AS available, sum(n)::DOUBLE / (SELECT sum(n) FROM d) AS share FROM d GROUP BY source HAVING sum(n) > 0),
+e AS (
+  SELECT coalesce(min(i), 1048576) / 1048576.0::DOUBLE AS a FROM range(1048576) t(i)
+  WHERE pow((SELECT min(share) FROM s), i / 1048576.0::DOUBLE - 1) / pow((SELECT max(share) FROM s), i / 1048576.0::DOUBLE - 1) <= 1.5),
+w AS (
+  SELECT source, available::BIGINT AS available, pow(share, a) / (SELECT sum(pow(share, a)) FROM s, e) AS weight,
+    floor(pow(share, a) * (SELECT sum(available) FROM s) / pow((SELECT max(share) FROM s), a - 1) + 0.5)::BIGINT AS wanted FROM s, e),
+p AS (SELECT *, wanted // available AS whole, wanted % available AS rest, wanted / available::DOUBLE AS copies FROM w),
+k AS (SELECT d.*, weight, whole, rest, copies, md5('1:' || whole || ':' || doc_id) AS key FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+c AS (SELECT *, sum(CASE WHEN n > 0 THEN n ELSE 0 END) OVER (PARTITION BY source ORDER BY key, n ROWS UNBOUNDED PRECEDING) AS upto FROM k),
+u AS (SELECT *, whole + (rest > 0 AND n > 0 AND 2 * rest >= 2 * upto - n)::INT AS times FROM c),
+x AS (SELECT *, unnest(range(times)) AS epoch FROM u)
+SELECT doc_id, source, n::BIGINT AS n_tokens, epoch::INT AS epoch, round(copies, 6) AS copies, round(weight, 6) AS weight,
+  round(least((epoch + ('0x' || substr(md5('1:' || epoch || ':' || doc_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE) / copies, 1 - 1e-9), 6) AS mix_order
+FROM x""",
     "op6_chat_formatting": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
