@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import chat, jaccard, mixing, packing, secrets, toxicity
+from keystrata.llm import ann, chat, jaccard, mixing, packing, secrets, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,13 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of each query, a row in twenty, among all other rows."""
+    rows = _read(spark, sf_dir, "embeddings")
+    quantisers, index = ann.build(rows)
+    return ann.search(index, quantisers, rows.where("vec_id % 20 = 0"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -45,6 +52,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 largest products of each query, a row in a hundred, with all other rows."""
+    rows = _read(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
     return secrets.scan(_read(spark, sf_dir, "documents"))
@@ -53,9 +66,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_exact_topk": op4_exact_topk,
     "op5_secret_scan": op5_secret_scan,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {
@@ -77,6 +92,15 @@ x AS (SELECT *, unnest(range(times)) AS epoch FROM u)
 SELECT doc_id, source, n::BIGINT AS n_tokens, epoch::INT AS epoch, round(copies, 6) AS copies, round(weight, 6) AS weight,
   round(least((epoch + ('0x' || substr(md5('1:' || epoch || ':' || doc_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE) / copies, 1 - 1e-9), 6) AS mix_order
 FROM x""",
+    "op4_exact_topk": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10""",
     "op6_chat_formatting": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
