@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import ann, chat, html, jaccard, mixing, packing, secrets, topk, toxicity
+from keystrata.llm import ann, chat, html, jaccard, mixing, packing, quality, secrets, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents."""
+    return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources mixed so that none is repeated more than 1.5 times as often as another, none less than once."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -69,6 +74,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_source_mixing": op2_source_mixing,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_exact_topk": op4_exact_topk,
