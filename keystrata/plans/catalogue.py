@@ -182,7 +182,7 @@ def upsert_rows(spark, sf):
     base = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     replaced = base.where("o_orderkey % 10 = 0").select("o_orderkey", F.lit(0).cast("bigint").alias("o_custkey"))
     added = base.where("o_orderkey % 50 = 1").select((-1 - F.col("o_orderkey")).alias("o_orderkey"), "o_custkey", F.lit("N").alias("o_orderstatus"))
-    return dml.upsert(base, replaced.unionByName(added), "o_orderkey")
+    return dml.upsert(base, replaced.unionByName(added, allowMissingColumns=True), "o_orderkey")
 
 
 @query("SELECT c_custkey, CASE WHEN c_nationkey = 7 THEN 'RETAIL' ELSE c_mktsegment END AS c_mktsegment FROM customer")
