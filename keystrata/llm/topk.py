@@ -102,7 +102,7 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1
     embeddings, queries: vec_id, embedding. A row is its query's own if it has the same id. Rows with a null id or a
     vector that is null, empty or has null or non-finite components take no part; vectors of other lengths than the
     query's are no candidates; repeated rows are candidates each; a repeated query counts once. Queries come in blocks of bounded size,
-    each a pass over the vectors. Products beyond 64 bits wrap.
+    each a pass over the vectors. Products must fit 64 bits; larger ones wrap.
     """
     spark = embeddings.sparkSession
     tune(spark)
