@@ -83,7 +83,7 @@ def fold_transactions(txns: list[dict], history: dict[str, int] | None = None) -
     """
     last, out = dict(history or {}), []
     for t in sorted(txns, key=lambda t: (t["commit_ts"], t["txn_id"])):
-        touched = {*t["reads"], *t["writes"]} if t["writes"] else set()
+        touched = {*t["reads"], *t["writes"]} if len(t["writes"]) else set()
         ok = not any(t["read_ts"] < last.get(k, 0) <= t["commit_ts"] for k in touched)
         if ok:
             last.update(dict.fromkeys(t["writes"], t["commit_ts"]))

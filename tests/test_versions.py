@@ -132,7 +132,7 @@ def test_two_phase_commit_recovery(spark, rows):
     txns = spark.createDataFrame([("t1", ops("40", "60"))], f"txn_id string, ops {OPS}")
     owner = sharding.owner(F.col("key"), Manifest([Shard("s0", "", "m"), Shard("s1", "m", "")]))
     grouped = twopc.group_by_shard(txns, owner)
-    assert rows(grouped.select("shard", F.col("ops")[0]["key"])) == [("s0", "alice"), ("s1", "zoe")]
+    assert rows(grouped.select("shard", F.col("ops")[0]["key"].alias("key"))) == [("s0", "alice"), ("s1", "zoe")]
     prepares = grouped.select("shard", F.lit(1).alias("seq"), "txn_id", F.lit(5).cast("long").alias("commit_ts"), "ops", F.lit("prepared").alias("phase"))
     base = spark.createDataFrame([("alice", "100"), ("zoe", "0")], "key string, value string")
     decided = spark.createDataFrame([(1, "t1", "commit")], "seq long, txn_id string, outcome string")
