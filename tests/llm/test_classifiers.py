@@ -49,7 +49,7 @@ def test_toxicity_without_labels(make, spark):
 
 def test_ftrl_is_sparse():
     r = np.random.default_rng(1)
-    rows = [(np.unique(np.append(r.integers(10, 4000, 30), [5] if y else [])), y) for y in r.integers(0, 2, 400).tolist()]
+    rows = [(np.unique(np.append(r.integers(10, 4000, 30), np.array([5] if y else [], np.int64))), y) for y in r.integers(0, 2, 400).tolist()]
     kept, w, _ = toxicity.train(iter(rows), toxicity.Ftrl())
     assert kept[np.argmax(w)] == 5 and len(kept) < 400
 
