@@ -102,12 +102,12 @@ def random_limits(documents: DataFrame, q: float = Q) -> dict[int, float]:
 
 
 def find_secrets(documents: DataFrame, limits: dict[int, float] | None = None) -> DataFrame:
-    """documents with ``_base`` and ``_all`` appended: spans (start, kind, end) in code points, end exclusive, sorted.
+    """(row, _base, _all): each row of documents as a struct, and its spans (start, kind, end) in code points, end exclusive, sorted.
 
-    kind indexes KINDS. Null texts count as empty and have no spans; rows with null or repeated ids are scanned alike.
+    kind indexes KINDS; ``_all`` holds the base patterns' spans and the battery's. Null texts count as empty and have no spans; rows with null or repeated ids are scanned alike.
     """
     limits = random_limits(documents) if limits is None else limits
-    df = documents.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    df = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)):
         df = _find(df, name, pattern)
     df = df.withColumn("_value", F.when(F.size("_assign") > 0, F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(2))))
@@ -118,7 +118,7 @@ def find_secrets(documents: DataFrame, limits: dict[int, float] | None = None) -
     keep = f"CASE t.class {cases} ELSE true END" if cases else "true"
     more = F.expr(span.format(f"filter(_tests, t -> {keep} AND NOT exists(_base, b -> b.start < t.end AND t.start < b.end))", 3))
     df = df.withColumn("_base", base).withColumn("_all", F.array_sort(F.concat("_base", more)))
-    return df.select(*documents.columns, "_base", "_all")
+    return df.select("row", "_base", "_all")
 
 
 def joined(spans: str) -> Column:
@@ -131,14 +131,14 @@ def scan(documents: DataFrame) -> DataFrame:
     """doc_id, counts by base kind, base_sha256 and spans of every document."""
     found = find_secrets(documents.select("doc_id", "text"))
     count = lambda k: F.expr(f"CAST(size(filter(_base, s -> s.kind = {k})) AS bigint)")
-    return found.select("doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(3)), F.sha2(joined("_base").cast("binary"), 256).alias("base_sha256"), joined("_all").alias("spans"), F.expr("CAST(size(_all) - size(_base) AS bigint)").alias("n_random"))
+    return found.select("row.doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(3)), F.sha2(joined("_base").cast("binary"), 256).alias("base_sha256"), joined("_all").alias("spans"), F.expr("CAST(size(_all) - size(_base) AS bigint)").alias("n_random"))
 
 
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """documents with every span of text replaced by ``mark``; spans that overlap are one. Null texts stay null."""
     found = find_secrets(documents)
     clean = F.expr(f"""aggregate(_all, struct(0 AS at, '' AS out),
-        (acc, s) -> struct(greatest(acc.at, s.end) AS at, CASE WHEN s.start < acc.at THEN acc.out ELSE concat(acc.out, substring(text, acc.at + 1, s.start - acc.at), '{mark}') END AS out),
-        acc -> concat(acc.out, substring(text, acc.at + 1)))""")
-    text = F.when(F.size("_all") > 0, clean).otherwise(F.col("text")).alias("text")
-    return found.select(*(text if c == "text" else F.col(f"`{c}`") for c in documents.columns))
+        (acc, s) -> struct(greatest(acc.at, s.end) AS at, CASE WHEN s.start < acc.at THEN acc.out ELSE concat(acc.out, substring(row.text, acc.at + 1, s.start - acc.at), '{mark}') END AS out),
+        acc -> concat(acc.out, substring(row.text, acc.at + 1)))""")
+    text = F.when(F.size("_all") > 0, clean).otherwise(F.col("row.text")).alias("text")
+    return found.select(*(text if c == "text" else F.col(f"row.`{c}`") for c in documents.columns))

@@ -117,8 +117,11 @@ def fit(documents: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), max_trai
 
 
 def score(documents: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """documents with all their columns and ``_toxicity`` (0 to 1) appended; null and empty texts get the bias's score."""
-    spark = documents.sparkSession
+    """documents with all their columns and ``_toxicity`` (0 to 1) appended, in place of one of that name.
+
+    Null and empty texts get the bias's score.
+    """
+    spark, documents = documents.sparkSession, documents.drop("_toxicity")
     tune(spark)
     kept = np.flatnonzero(weights)
     shared = spark.sparkContext.broadcast((kept.astype(np.int32), weights[kept]))
