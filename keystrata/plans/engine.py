@@ -17,7 +17,7 @@ from keystrata.functions.values import column_between, column_equals
 from keystrata.operators import dml
 from keystrata.operators.schema import TYPES, Catalog
 from keystrata.plans import dialect as d
-from keystrata.sources.store import Store
+from keystrata.sources.store import Store, cut_lineage
 
 #: After so many changes a table without a store is written to the session's checkpoint folder, to cut its lineage.
 CUT_EVERY = 16
@@ -101,8 +101,8 @@ class Engine:
         if self.store is not None:
             self.store.write(f"table_{table}", df)
             df = self.store.read(f"table_{table}")
-        elif self.changes[table] % CUT_EVERY == 0 and self.spark.conf.get("spark.checkpoint.dir", ""):
-            df = df.checkpoint()
+        elif self.changes[table] % CUT_EVERY == 0:
+            df = cut_lineage(df)
         self.tables[table] = df
 
     def _save_catalog(self) -> None:

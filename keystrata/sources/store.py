@@ -123,6 +123,16 @@ class Store:
         return made
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df as a table in the session's shared checkpoint folder; df itself if the session names none."""
+    root = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        return df
+    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Appends rows as JSON lines."""
     df.write.mode("append").json(path)
