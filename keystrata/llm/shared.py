@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,8 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(discard, spark, path)
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark delete the shuffle files of plans that are done with
     return spark.read.schema(df.schema).parquet(path), path
 
 
