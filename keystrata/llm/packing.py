@@ -115,40 +115,51 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_i
     return docs.mapInArrow(apply, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
-def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
-    """How many of each length fill ``room`` as far as any combination of them can."""
+def fullest(counts: dict[int, int], room: int, slack: int = 0) -> dict[int, int]:
+    """How many of each length fill ``room`` as far as any combination of them can, or but for ``slack``.
+
+    Long lengths come first, and shorter ones only as far as they are needed: they fit in later more easily.
+    """
     reach, steps = 1, []
     mask = (1 << room + 1) - 1
-    for length in sorted(x for x in counts if x <= room):
+    for length in sorted((x for x in counts if x <= room), reverse=True):
         steps.append((length, reach))
         left, step = min(counts[length], room // length), 1
         while left:
             take = min(step, left)
             reach |= reach << take * length & mask
             left, step = left - take, step * 2
-        if reach >> room & 1:
+        if reach >> max(0, room - slack):
             break
     at, out = reach.bit_length() - 1, {}
     for length, before in reversed(steps):
-        for k in range(min(counts[length], at // length), -1, -1):
-            if before >> at - k * length & 1:
-                break
+        k = 0
+        while not before >> at - k * length & 1:
+            k += 1
         if k:
             out[length] = k
             at -= k * length
     return out
 
 
+#: Slacks that a plan may leave in a bin before it looks for a fuller combination; the plan of fewest bins is taken.
+SLACKS = (0, 4, 16, 64)
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     """Rows (length, first rank, pieces in a bin, first bin, offset in the bin), by length and rank.
 
     Each bin holds the longest length left and the fullest combination beside it.
     """
+    return min((_plan(counts, capacity, slack) for slack in SLACKS if slack < capacity), key=lambda x: x[0])[1]
+
+
+def _plan(counts: dict[int, int], capacity: int, slack: int) -> tuple[int, np.ndarray]:
     left, used, base, rows = {k: v for k, v in counts.items() if v}, dict.fromkeys(counts, 0), 0, []
     while left:
         top = max(left)
         left[top] -= 1
-        bin_ = fullest({k: v for k, v in left.items() if v}, capacity - top)
+        bin_ = fullest({k: v for k, v in left.items() if v}, capacity - top, slack)
         left[top] += 1
         bin_[top] = bin_.get(top, 0) + 1
         times, offset = min(left[k] // n for k, n in bin_.items()), 0
@@ -160,7 +171,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
             if not left[k]:
                 del left[k]
         base += times
-    return np.array(sorted(rows), np.int64).reshape(-1, 5)
+    return base, np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:

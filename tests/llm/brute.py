@@ -67,3 +67,16 @@ def check_packing(rows: list[tuple], lengths: dict[int, int], capacity: int) ->
         assert at <= capacity
     assert len(seqs) >= math.ceil(sum(lengths.values()) / capacity)
     return len(seqs)
+
+
+def first_fit_decreasing(lengths: list[int], capacity: int) -> int:
+    """The number of sequences that first-fit decreasing needs."""
+    rooms: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        for k, room in enumerate(rooms):
+            if n <= room:
+                rooms[k] -= n
+                break
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
