@@ -1,4 +1,5 @@
 import zlib
+from functools import lru_cache
 
 import brute
 import numpy as np
@@ -13,11 +14,17 @@ PATH = P.path("word_bpe_49k.json")
 TEXTS = ["It's we'll DON'T 'S ''s!", "naïve ÇA ß ſ İstanbul", "x² ½ ٣ 1234 ⅷ", "a\x1cb\x85c d \t\n e", "é é", "日本語 text 🙂🙂", "<|endoftext|> <|startoftext|>", "_a_b__ ...!!! $$$%%%", "", None, "ˈˇ˘ ǅ ŉ", "ªº ¼", "word " * 5000]
 
 
-def ids(text):
+@lru_cache(1)
+def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
+    return t
+
+
+def ids(text):
+    t = library()
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
