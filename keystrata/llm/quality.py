@@ -2,25 +2,30 @@
 
 One classifier sees the text's content (characters and words), the other the page's metadata (language, source, size and
 layout: lines and their lengths). Over some rounds each labels the unlabelled rows it is sure of for the other to learn
-from. Each view is then calibrated on labelled rows that neither learned from, and a logistic combination of the two
+from. The unlabelled rows stay where they are: every round scores all of them, and the tasks return sums only (counts by
+confidence, gradients and Hessians). Each view is then calibrated on labelled rows that neither learned from, and a logistic combination of the two
 calibrated log-odds, fitted on the same rows, scores every document.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import SPACED_WORD, chunks, tune, word_hashes
+from keystrata.llm.shared import SPACED_WORD, chunks, store, tune, word_hashes
 
-#: Fitting sees at most so many labelled and so many unlabelled rows, those with the smallest hash of their id.
-MAX_LABELLED = MAX_UNLABELLED = 8000
+#: Fitting sees at most so many labelled rows, those with the smallest hash of their id, and all unlabelled ones.
+MAX_LABELLED = 8000
+#: Of the unlabelled rows, how many a view may label in a round, by label.
+SHARE = 1 / 16
+#: Confidence is counted in steps of 1/16 of log-odds, which end at 30.
+STEPS, CONFIDENCES = 16, 481
 #: Slots for hashed languages and sources.
 SLOTS = 64
 KEEP_AT = 0.5
@@ -78,20 +83,30 @@ class Logistic:
     w: np.ndarray = field(default=None)
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 25) -> Logistic:
-        self.mean, self.scale = x.mean(0), x.std(0)
-        self.scale = np.where(self.scale < 1e-9, 1.0, self.scale)
-        z = self._design(x)
-        self.w = np.zeros(z.shape[1])
-        ridge = np.diag([*([self.l2] * (z.shape[1] - 1)), 1e-3])
+        self.standardise(x.mean(0), x.std(0))
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-            grad = z.T @ (p - y) + ridge @ self.w
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + ridge, grad)
-            self.w -= step * min(1.0, 4 / max(1e-12, np.abs(step).max()))
-            if np.abs(step).max() < 1e-6:
+            if self.step(*self.terms(x, y)):
                 break
         return self
 
+    def standardise(self, mean: np.ndarray, scale: np.ndarray) -> Logistic:
+        self.mean, self.scale = mean, np.where(scale < 1e-9, 1.0, scale)
+        self.w = np.zeros(len(mean) + 1)
+        return self
+
+    def terms(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian of the loss, which add up over parts of the rows."""
+        z = self._design(x)
+        p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
+        return z.T @ (p - y), (z * (p * (1 - p) + 1e-6)[:, None]).T @ z
+
+    def step(self, gradient: np.ndarray, hessian: np.ndarray) -> bool:
+        """A Newton step from the terms of all rows; whether it was the last one needed."""
+        ridge = np.diag([*([self.l2] * (len(self.w) - 1)), 1e-3])
+        step = np.linalg.solve(hessian + ridge, gradient + ridge @ self.w)
+        self.w = self.w - step * min(1.0, 4 / max(1e-12, np.abs(step).max()))
+        return np.abs(step).max() < 1e-6
+
     def _design(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([np.clip((x - self.mean) / self.scale, -8, 8), np.ones((len(x), 1))], 1)
 
@@ -99,6 +114,118 @@ class Logistic:
         return np.clip(self._design(x) @ self.w, -30, 30)
 
 
+#: Sums of one part of the pool, from its views' features and the rows' ranks among equals (0 to 1).
+Part = Callable[[list[np.ndarray], np.ndarray], np.ndarray]
+
+
+@dataclass
+class LocalPool:
+    """Unlabelled rows in memory."""
+
+    views: list[np.ndarray]
+
+    def total(self, part: Part) -> np.ndarray:
+        n = len(self.views[0])
+        return part(self.views, (np.arange(n) + 0.5) / max(1, n))
+
+
+@dataclass
+class StoredPool:
+    """Unlabelled rows (x, _tie) of a stored table."""
+
+    rows: DataFrame
+
+    def total(self, part: Part) -> np.ndarray:
+        """The sum over all rows; a task returns one array, and these are added in order of the tasks."""
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for batch in batches:
+                more = part(_unpacked(batch.column("x")), batch.column("_tie").to_numpy())
+                out = more if out is None else out + more
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([out.astype("<f8").tobytes()], pa.binary())], names=["sums"])
+
+        got = self.rows.select("x", "_tie").mapInArrow(apply, "sums binary").toArrow().column("sums").to_pylist()
+        sums = [np.frombuffer(x, "<f8") for x in got]
+        return sum(sums[1:], sums[0]) if sums else part(_unpacked(pa.array([], pa.binary())), np.zeros(0))
+
+
+@dataclass
+class Lesson:
+    """What both views taught each other in a round: view k gives the other the rows that pass its limits.
+
+    limits[k][label]: the step of confidence from which on rows are taken, and the share that is taken of that step.
+    """
+
+    teachers: list[Logistic]
+    sure: float
+    limits: list[list[tuple[int, float]]]
+
+
+def _confidence(z: np.ndarray, label: int, sure: float) -> np.ndarray:
+    """The step of confidence in a label, -1 where it isn't sure."""
+    s = z if label else -z
+    return np.where(s >= sure, np.floor(s * STEPS), -1).astype(np.int64)
+
+
+def _taught(views: list[np.ndarray], tie: np.ndarray, lessons: list[Lesson]) -> list[np.ndarray]:
+    """The label that each view was taught of each row, -1 where none; the first lesson holds."""
+    out = [np.full(len(tie), -1) for _ in views]
+    for lesson in lessons:
+        for k, (teacher, limits) in enumerate(zip(lesson.teachers, lesson.limits, strict=True)):
+            z, free = teacher.log_odds(views[k]), out[1 - k] < 0
+            for label, (at, some) in enumerate(limits):
+                c = _confidence(z, label, lesson.sure)
+                out[1 - k][free & (c >= 0) & ((c > at) | (c == at) & (tie < some))] = label
+    return out
+
+
+def _moments(centres: list[np.ndarray]) -> Part:
+    """Number of rows, sums of the features and of their squares, both from the centres."""
+
+    def part(views: list[np.ndarray], tie: np.ndarray) -> np.ndarray:
+        both = np.concatenate(views, 1) - np.concatenate(centres)
+        return np.concatenate([[len(tie)], both.sum(0), (both**2).sum(0)])
+
+    return part
+
+
+def _confidences(teachers: list[Logistic], lessons: list[Lesson], sure: float) -> Part:
+    """Rows not yet taught, by teaching view, label and step of confidence."""
+
+    def part(views: list[np.ndarray], tie: np.ndarray) -> np.ndarray:
+        known, out = _taught(views, tie, lessons), np.zeros((2, 2, CONFIDENCES))
+        for k, teacher in enumerate(teachers):
+            z = teacher.log_odds(views[k][known[1 - k] < 0])
+            for label in (0, 1):
+                c = _confidence(z, label, sure)
+                out[k, label] = np.bincount(c[c >= 0], minlength=CONFIDENCES)
+        return out.ravel()
+
+    return part
+
+
+def _newton(models: list[Logistic], lessons: list[Lesson]) -> Part:
+    """Number, gradient and Hessian of the rows that each view was taught."""
+
+    def part(views: list[np.ndarray], tie: np.ndarray) -> np.ndarray:
+        known = _taught(views, tie, lessons)
+        return np.concatenate([t for m, x, y in zip(models, views, known, strict=True) for t in ([(y >= 0).sum()], *map(np.ravel, m.terms(x[y >= 0], y[y >= 0])))])
+
+    return part
+
+
+def _limit(counts: np.ndarray, most: float) -> tuple[int, float]:
+    """From which step on ``most`` rows are taken, and the share of that step."""
+    above = 0.0
+    for at in np.flatnonzero(counts)[::-1]:
+        if above + counts[at] >= most:
+            return int(at), (most - above) / counts[at]
+        above += counts[at]
+    return -1, 0.0
+
+
 @dataclass
 class CoTrained:
     """Two views' classifiers, their calibration (slope, shift) and the combination of both."""
@@ -108,23 +235,43 @@ class CoTrained:
     combined: Logistic
 
     @classmethod
-    def fit(cls, views: list[np.ndarray], y: np.ndarray, fold: np.ndarray, pool: list[np.ndarray], rounds: int = 4, sure: float = 0.97, per_round: int = 500) -> CoTrained:
-        """views: each view's features of the labelled rows; fold: rows kept for calibration; pool: those of unlabelled rows."""
-        learn, own = ~fold, []
-        known = [[] for _ in views]  # (pool row, label) that each view has been taught
-        for _ in range(rounds + 1):
-            own = []
-            for x, u, taught in zip(views, pool, known, strict=True):
-                rows, labels = [r for r, _ in taught], [l for _, l in taught]
-                own.append(Logistic().fit(np.concatenate([x[learn], u[rows]]) if rows else x[learn], np.concatenate([y[learn], labels]) if rows else y[learn]))
-            for k, (model, u) in enumerate(zip(own, pool, strict=True)):
-                p = 1 / (1 + np.exp(-model.log_odds(u))) if len(u) else np.zeros(0)
-                other = known[1 - k]
-                taken = {r for r, _ in other}
-                for label, confidence in ((1, p), (0, 1 - p)):
-                    best = [int(r) for r in np.argsort(-confidence, kind="stable")[: 4 * per_round] if confidence[r] >= sure and int(r) not in taken]
-                    other += [(r, label) for r in best[:per_round]]
-        z = [m.log_odds(x[fold])[:, None] for m, x in zip(own, views, strict=True)]
+    def fit(cls, views: list[np.ndarray], y: np.ndarray, fold: np.ndarray, pool: LocalPool | StoredPool | list[np.ndarray], rounds: int = 4, sure: float = 0.97, share: float = SHARE, steps: int = 25) -> CoTrained:
+        """views: each view's features of the labelled rows; fold: rows kept for calibration; pool: the unlabelled rows.
+
+        In a round each view labels at most ``share`` of the pool with either label for the other, the surest rows first. What a
+        view was taught weighs, all rows together, at most as much as the labelled rows: many rows don't outvote them.
+        """
+        pool = LocalPool(pool) if isinstance(pool, list) else pool
+        learn, logit = ~fold, float(np.log(sure / (1 - sure)))
+        x, target = [v[learn] for v in views], y[learn]
+        centres = [v.mean(0) for v in x]
+        n, *sums = np.split(pool.total(_moments(centres)), [1, 1 + sum(map(len, centres))])
+        n, rows, own = float(n[0]), float(n[0]) + len(target), []
+        for v, centre, first, second in zip(x, centres, *(np.split(t, [len(centres[0])]) for t in sums), strict=True):
+            shift = first / rows
+            spread = (((v - centre) ** 2).sum(0) + second) / rows - shift**2
+            own.append(Logistic().standardise(centre + shift, np.sqrt(np.maximum(0, spread))))
+        lessons = []
+        for at in range(rounds + 1):
+            if at:
+                counts = pool.total(_confidences(own, lessons, logit)).reshape(2, 2, CONFIDENCES)
+                limits = [[_limit(c, share * n) for c in each] for each in counts]
+                lessons = [*lessons, Lesson(own, logit, limits)]
+                own = [replace(m, w=np.zeros(len(m.w))) for m in own]  # Newton steps from the last weights may not converge
+            for _ in range(steps if n or not at else 0):
+                more = pool.total(_newton(own, lessons)) if lessons else None
+                done = []
+                for m, v in zip(own, x, strict=True):
+                    gradient, hessian = m.terms(v, target)
+                    if more is not None:
+                        k = len(m.w)
+                        (taught,), g, h, more = np.split(more, [1, 1 + k, 1 + k + k * k])
+                        weight = min(1.0, len(target) / max(1.0, taught))
+                        gradient, hessian = gradient + weight * g, hessian + weight * h.reshape(k, k)
+                    done.append(m.step(gradient, hessian))
+                if all(done):
+                    break
+        z = [m.log_odds(v[fold])[:, None] for m, v in zip(own, views, strict=True)]
         calibration = [Logistic(l2=0.1).fit(v, y[fold]) for v in z]
         both = np.concatenate([c.log_odds(v)[:, None] for c, v in zip(calibration, z, strict=True)], 1)
         return cls(own, calibration, Logistic(l2=0.1).fit(both, y[fold]))
@@ -141,51 +288,60 @@ def _views(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [content_features(texts), metadata_features(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")), texts)]
 
 
-def _matrix(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """ids, labels and the views' features of a bounded number of rows, in order of their hash."""
+def _packed(views: list[np.ndarray]) -> list[bytes]:
+    """Each row's features; those of the slots are bits."""
+    numbers = np.concatenate([views[0], views[1][:, :N_LAYOUT]], 1).astype("<f8")
+    slots = np.packbits(views[1][:, N_LAYOUT:] > 0, axis=1)
+    return [a.tobytes() + b.tobytes() for a, b in zip(numbers, slots, strict=True)]
+
+
+def _unpacked(column: pa.Array) -> list[np.ndarray]:
+    k = 8 * (N_CONTENT + N_LAYOUT)
+    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, k + SLOTS // 8)
+    numbers = np.ascontiguousarray(data[:, :k]).view("<f8")
+    return [numbers[:, :N_CONTENT], np.concatenate([numbers[:, N_CONTENT:], np.unpackbits(data[:, k:], axis=1)], 1)]
+
+
+def _features(docs: DataFrame) -> DataFrame:
+    """(doc_id, _tie, x): packed features of every row, and a number from 0 to 1 by which rows of equal confidence are told."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = np.concatenate(_views(batch), 1).astype("<f8")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_label"), pa.array([x.tobytes() for x in both], pa.binary())], names=["doc_id", "_label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_tie"), pa.array(_packed(_views(batch)), pa.binary())], names=["doc_id", "_tie", "x"])
 
-    got = rows.mapInArrow(apply, "doc_id bigint, _label int, x binary").orderBy("doc_id", "x").toArrow()
-    width = N_CONTENT + N_LAYOUT + SLOTS
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), "<f8").reshape(-1, width)
-    return got.column("doc_id").to_numpy(), got.column("_label").fill_null(-1).to_numpy(), [x[:, :N_CONTENT], x[:, N_CONTENT:]]
+    tie = F.pmod(F.xxhash64(F.lit(4), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / (1 << 30)
+    return docs.withColumn("_tie", tie).mapInArrow(apply, "doc_id bigint, _tie double, x binary")
 
 
-def quality(documents: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
+def quality(documents: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id, held_out, content_score, metadata_score, score (0 to 1, higher: label 1 likelier) and keep of every document.
 
     labels: (doc_id, quality); those of ids with crc32(id as text) mod 4 = 2 are held out and never seen. Rows of labels
     with nulls are left out, of several labels of an id the largest holds. Every row of documents gives one row; null
     texts count as empty, null languages and sources as values of their own. With fewer than ten labelled rows, or one
-    label only, every score is 0.5. Other columns play no part.
+    label only, every score is 0.5. Other columns play no part. All rows without a label that aren't held out are the
+    pool of co-training.
     """
     spark = documents.sparkSession
     tune(spark)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), *(F.col(c).cast(t).alias(c) for c, t in (("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"))))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").cast("int").alias("_label"))
-    order = [F.xxhash64(F.lit(3), F.col("doc_id")), F.col("doc_id")]
-    labelled = known.where(~held).orderBy(*order).limit(max_labelled)
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").where(~held).join(known, "doc_id", "left_anti").orderBy(*order).limit(max_unlabelled).withColumn("_label", F.lit(None).cast("int"))
-    chosen = labelled.union(ids.distinct())
-    doc_ids, y, views = _matrix(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "_label", "text", "lang", "source", "n_chars"))
-    seen = y >= 0
-    model = None
-    if seen.sum() >= 10 and len(set(y[seen].tolist())) == 2:
-        fold = np.array([zlib.crc32(b"fold%d" % i) % 4 == 0 for i in doc_ids[seen]])
-        if min(len(set(y[seen][fold])), len(set(y[seen][~fold]))) == 2:
-            model = CoTrained.fit([v[seen] for v in views], y[seen].astype(float), fold, [v[~seen] for v in views])
+    chosen = known.where(~held).orderBy(F.xxhash64(F.lit(3), F.col("doc_id")), F.col("doc_id")).limit(max_labelled).select("doc_id")
+    rows, _ = store(_features(docs).join(known, "doc_id", "left"), "quality")
+    got = rows.where("_label IS NOT NULL").join(F.broadcast(chosen), "doc_id", "left_semi").orderBy("doc_id", "x").toArrow()
+    y, model = got.column("_label").to_numpy().astype(float), None
+    if len(y) >= 10 and len(set(y.tolist())) == 2:
+        fold = np.array([zlib.crc32(b"fold%d" % i) % 4 == 0 for i in got.column("doc_id").to_pylist()])
+        if min(len(set(y[fold])), len(set(y[~fold]))) == 2:
+            model = CoTrained.fit(_unpacked(got.column("x")), y, fold, StoredPool(rows.where("_label IS NULL").where(~held)))
     shared = spark.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            score, each = shared.value.scores(_views(batch)) if shared.value and n else (np.full(n, 0.5), [np.full(n, 0.5)] * 2)
+            score, each = shared.value.scores(_unpacked(batch.column("x"))) if shared.value and n else (np.full(n, 0.5), [np.full(n, 0.5)] * 2)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(each[0]), pa.array(each[1]), pa.array(score)], names=["doc_id", "content_score", "metadata_score", "score"])
 
-    scored = docs.mapInArrow(apply, "doc_id bigint, content_score double, metadata_score double, score double")
+    scored = rows.select("doc_id", "x").mapInArrow(apply, "doc_id bigint, content_score double, metadata_score double, score double")
     return scored.select("doc_id", held.alias("held_out"), "content_score", "metadata_score", "score", (F.col("score") >= keep_at).cast("int").alias("keep"))

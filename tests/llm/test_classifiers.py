@@ -98,3 +98,31 @@ def test_views_teach_each_other():
     both, each = model.scores([a[300:], b[300:]])
     accuracy = lambda p: np.mean((p > 0.5) == y[300:])
     assert accuracy(both) >= max(map(accuracy, each)) - 0.02 and accuracy(both) > 0.88
+
+
+def test_pool_has_no_bound(make, spark):
+    """A source that occurs only in 40 unlabelled rows, which come last in the order of hashes, has its own weight."""
+    r = random.Random(5)
+    order = [x.id for x in spark.range(12_000).selectExpr("id", "xxhash64(3, id) AS h").orderBy("h").collect() if zlib.crc32(str(x.id).encode()) % 4 != 2]
+    assert len(order) > 8600
+    docs, labels = [], []
+    for at, i in enumerate(order):
+        text, good, rare = " ".join(r.choices(WORDS, k=12)), at % 4 > 0, at >= len(order) - 40
+        docs.append((i, text if good and not rare else text.upper() + " !! %% !!", "rare" if rare else "bad" if not good and at % 8 else "other"))
+        if at < 300:
+            labels.append((i, int(good)))
+    text = " ".join(r.choices(WORDS, k=12))
+    a, b = [i for i in range(20_000, 20_100) if zlib.crc32(str(i).encode()) % 4 == 2][:2]
+    docs += [(a, text, "rare"), (b, text, "fresh")]
+    out = {x.doc_id: x.metadata_score for x in quality.quality(make(docs), spark.createDataFrame(labels, "doc_id long, quality int")).where("held_out").collect()}
+    assert out[a] < out[b] - 1e-4
+
+
+def test_stored_pool_adds_up_as_one_in_memory(make, spark):
+    docs, _ = documents(6, 300)
+    rows = quality._features(make(docs).repartition(3)).drop("doc_id").localCheckpoint()
+    got = rows.toArrow()
+    views = quality._unpacked(got.column("x"))
+    part = quality._moments([v.mean(0) for v in views])
+    assert np.allclose(quality.StoredPool(rows).total(part), quality.LocalPool(views).total(part))
+    assert np.allclose(quality.StoredPool(rows.limit(0)).total(part), 0)
