@@ -159,3 +159,9 @@ def test_replicated_log(spark, rows):
     assert replication.reconcile(mine, entries, 20, 2) is None
     assert rows(replication.reconcile(mine, entries, 6, 2))[-3:] == [(7, 3), (8, 3), (9, 3)]
     assert replication.reconcile(mine, entries.limit(0), 6, 2).count() == 8
+
+
+def test_long_transactions_meet_the_windows_between(spark, rows):
+    txns = spark.createDataFrame([("long", "k", 0, 100), ("clear", "j", 0, 100), ("empty", "k", 45, 45), ("edges", "k", 45, 46)], "txn_id string, key string, read_ts long, commit_ts long")
+    versions = spark.createDataFrame([("k", 45), ("j", 100), ("j", 0)], "key string, commit_ts long")
+    assert rows(mvcc.validate_history(txns, versions, 10), "txn_id", "conflict") == [("clear", False), ("edges", False), ("empty", False), ("long", True)]
