@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import store, tune
+from keystrata.llm.shared import small, store
 from keystrata.llm.vectors import FOUND, Best, best_of, dense, query_blocks, usable
 
 #: The codebooks are fitted on at most this many rows, those with the smallest hash of their id; all rows are indexed.
@@ -96,14 +96,13 @@ def build(embeddings: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[dict[int, Ad
     of a length that the sample lacks have null codes and are compared exactly.
     """
     spark = embeddings.sparkSession
-    tune(spark)
     rows = usable(embeddings, False)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).toArrow().combine_chunks()
     quantisers = {d: AdditiveQuantiser.fit(v, words=min(WORDS, max(2, len(v) // 8))) for b in sample.to_batches() for d, _, v in dense(b)}
     shared = spark.sparkContext.broadcast(quantisers)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for d, ids, v in dense(batch):
                 codes, ratio = [None] * len(ids), np.ones(len(ids), np.float32)
                 if d in shared.value:
@@ -140,7 +139,7 @@ def _scorer(shared, k: int, shortlist: int, group: int = 512):
         block, quantisers = shared.value
         of = {d: (ids, q, Best(len(ids), k, np.float64)) for d, ids, q in block}
         lut = {d: quantisers[d].tables(of[d][1]) for d in of if d in quantisers}
-        for batch in batches:
+        for batch in small(batches):
             sizes = np.diff(batch.column("v").offsets.to_numpy())
             for d, ids, v in dense(batch):
                 if d not in of:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import tune
+from keystrata.llm.shared import small
 
 Turns = list[tuple[str, str]]
 
@@ -79,7 +79,6 @@ def format_chats(conversations: DataFrame, render: Callable[[Turns], str] = rend
     role, then text; rows without conv_id form one conversation with a null id. A conversation is one string, so its
     turns meet in one row; only that row must fit in memory. Other columns play no part.
     """
-    tune(conversations.sparkSession)
     rows = conversations.select(
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -87,7 +86,7 @@ def format_chats(conversations: DataFrame, render: Callable[[Turns], str] = rend
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for row in batch.to_pylist():
                 turns = [(t["role"], t["text"]) for t in row["turns"]]
@@ -109,7 +108,7 @@ def digest(formatted: DataFrame) -> DataFrame:
     """Counts and digests read back from the formatted strings and their loss masks."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for row in batch.to_pylist():
                 text = row["formatted"]

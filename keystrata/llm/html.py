@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import tune
+from keystrata.llm.shared import small
 
 # What HTML itself says of its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -356,10 +356,9 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Every row gives one row, repeated and null ids included; other columns play no part.
     """
-    tune(pages.sparkSession)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [extract(h) if h else "" for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

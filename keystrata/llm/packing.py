@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import store, tune
+from keystrata.llm.shared import small, store
 
 CAPACITY = 2048
 #: Ranks within a length are counted over this many parts, as one length may be that of very many pieces.
@@ -94,13 +94,12 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_i
     A document is its text's ids and then end_id; null texts count as empty. Only documents of more than capacity ids
     are cut. Rows with a null or repeated doc_id are documents of their own.
     """
-    tune(documents.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, last = encoder(tokenizer), int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             for a, b in _slices(texts):
                 out = []
@@ -189,7 +188,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = table.value
         keys = rows[:, 0] << 44 | rows[:, 1]
-        for batch in batches:
+        for batch in small(batches):
             length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_rank"))
             _, first, each, base, offset = rows[np.searchsorted(keys, length << 44 | rank, "right") - 1].T
             nth = rank - first

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import SPACED_WORD, chunks, store, tune, word_hashes
+from keystrata.llm.shared import SPACED_WORD, chunks, small, store, word_hashes
 
 #: Fitting sees at most so many labelled rows, those with the smallest hash of their id, and all unlabelled ones.
 MAX_LABELLED = 8000
@@ -140,7 +140,7 @@ class StoredPool:
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = None
-            for batch in batches:
+            for batch in small(batches):
                 more = part(_unpacked(batch.column("x")), batch.column("_tie").to_numpy())
                 out = more if out is None else out + more
             if out is not None:
@@ -306,7 +306,7 @@ def _features(docs: DataFrame) -> DataFrame:
     """(doc_id, _tie, x): packed features of every row, and a number from 0 to 1 by which rows of equal confidence are told."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_tie"), pa.array(_packed(_views(batch)), pa.binary())], names=["doc_id", "_tie", "x"])
 
     tie = F.pmod(F.xxhash64(F.lit(4), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / (1 << 30)
@@ -323,7 +323,6 @@ def quality(documents: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, m
     pool of co-training.
     """
     spark = documents.sparkSession
-    tune(spark)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), *(F.col(c).cast(t).alias(c) for c, t in (("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"))))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").cast("int").alias("_label"))
@@ -338,7 +337,7 @@ def quality(documents: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, m
     shared = spark.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n = batch.num_rows
             score, each = shared.value.scores(_unpacked(batch.column("x"))) if shared.value and n else (np.full(n, 0.5), [np.full(n, 0.5)] * 2)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(each[0]), pa.array(each[1]), pa.array(score)], names=["doc_id", "content_score", "metadata_score", "score"])

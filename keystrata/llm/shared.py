@@ -3,31 +3,49 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch: bounds what a Python worker holds at once.
-BATCH_ROWS = 2000
+#: Rows and bytes of a batch that an operator works on at once; a larger row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Bytes of text that are hashed at once; a longer text is a chunk of its own.
 CHUNK = 1 << 20
 
 
-def tune(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that Python workers get."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most BATCH_ROWS rows and about BATCH_BYTES bytes: bounds what a worker unpacks at once."""
+    for batch in batches:
+        n = batch.num_rows
+        rows = max(1, min(BATCH_ROWS, n * BATCH_BYTES // max(1, batch.nbytes)))
+        stack = [(a, min(rows, n - a)) for a in range(0, n, rows)][::-1]
+        while stack:
+            a, k = stack.pop()
+            part = batch.slice(a, k)
+            if k > 1 and part.nbytes > 2 * BATCH_BYTES:
+                stack += [(a + k // 2, k - k // 2), (a, k // 2)]
+            else:
+                yield part
+
+
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set, local mode gets a temporary one; a cluster must set it."""
     found = spark.conf.get("spark.checkpoint.dir", "")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="keystrata-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if "dir" not in _local:
+        _local["dir"] = "file://" + tempfile.mkdtemp(prefix="keystrata-")
+    return _local["dir"]
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -45,8 +63,6 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(discard, spark, path)
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files of plans that are done with
     return spark.read.schema(df.schema).parquet(path), path
 
 

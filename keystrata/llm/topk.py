@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import tune
+from keystrata.llm.shared import small
 from keystrata.llm.vectors import FOUND, Best, best_of, dense, query_blocks, usable
 
 #: Buckets in an octave of length; coordinates that are looked at; the local cosine from which on they are used.
@@ -105,7 +105,6 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1
     each a pass over the vectors. Products must fit 64 bits; larger ones wrap.
     """
     spark = embeddings.sparkSession
-    tune(spark)
     rows = quantised(embeddings, scale)
     length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     seeds = rows.orderBy(length.desc(), "vec_id").limit(SEED_ROWS).toArrow().combine_chunks()
@@ -136,7 +135,7 @@ def _search(shared, k: int):
             best[d] = Best(len(q), k, np.int64)
             floor[d] = limits.get(d)
         of = {d: (ids, q) for d, ids, q in block}
-        for batch in batches:
+        for batch in small(batches):
             for d, ids, v in dense(batch):
                 if d in of:
                     Bucketed(ids, v).search(of[d][1], of[d][0], _Floored(best[d], floor[d]))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import chunks, mix, tune, word_hashes
+from keystrata.llm.shared import chunks, mix, small, word_hashes
 
 #: Hash space of features; the model never holds more weights.
 BITS = 20
@@ -86,7 +86,6 @@ def fit(documents: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), max_trai
     Rows with a null id or label are left out; of several labels of an id the largest holds. Without any usable row
     all weights are 0 and the bias is that of an even chance. The fit runs in one task over the bounded sample.
     """
-    tune(documents.sparkSession)
     chosen = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_label"))
         .withColumn("_order", F.xxhash64(F.lit(7), F.col("_id"))).orderBy("_order", "_id").limit(max_train_rows)
@@ -94,7 +93,7 @@ def fit(documents: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), max_trai
     rows = documents.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), "_id").select("_order", "_id", "_label", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for begin, end, doc, slot in features(_bytes(batch.column("text"))):
                 pairs = np.unique((doc << BITS) | slot)
@@ -122,7 +121,6 @@ def score(documents: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     Null and empty texts get the bias's score.
     """
     spark, documents = documents.sparkSession, documents.drop("_toxicity")
-    tune(spark)
     kept = np.flatnonzero(weights)
     shared = spark.sparkContext.broadcast((kept.astype(np.int32), weights[kept]))
     schema = documents.schema
@@ -131,7 +129,7 @@ def score(documents: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(1 << BITS, np.float32)
         dense[shared.value[0]] = shared.value[1]
-        for batch in batches:
+        for batch in small(batches):
             total = np.full(batch.num_rows, bias)
             for begin, end, doc, slot in features(_bytes(batch.column(batch.schema.get_field_index("text")))):
                 hit = np.flatnonzero(dense[slot])
