@@ -39,7 +39,8 @@ class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
 
     A tokenizer that only lower-cases and splits by ``_SPLIT`` treats each word alone, so a word's ids are looked up
-    once and remembered; other tokenizers, and texts with characters outside ``_OTHER``'s complement, take the library's path.
+    once and remembered; other tokenizers, and texts that hold one of ``_OTHER`` or an added token of the file (whose
+    own id it gets, as the library's encode() has it), take the library's path.
     """
 
     def __init__(self, path: str):
@@ -49,8 +50,9 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             text = file.read()
         self.tokenizer = Tokenizer.from_str(text)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(text)
+        added = [x["content"] for x in spec.get("added_tokens") or [] if x["content"]]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
         steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = [x.get("pattern", {}).get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and split == [_SPLIT, None]
@@ -60,7 +62,7 @@ class Encoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        words = [None if not self.by_word or _OTHER.search(t) else _WORD.findall(t.lower()) for t in texts]
+        words = [None if not self.by_word or _OTHER.search(t) or self.added.search(t) else _WORD.findall(t.lower()) for t in texts]
         fresh = list({w for ws in words if ws for w in ws} - self.cache.keys())
         if len(self.cache) + len(fresh) > CACHE_WORDS:
             self.cache = {}

@@ -11,16 +11,14 @@ from keystrata.llm import packing
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("word_bpe_49k.json")
-TEXTS = ["It's we'll DON'T 'S ''s!", "naïve ÇA ß ſ İstanbul", "x² ½ ٣ 1234 ⅷ", "a\x1cb\x85c d \t\n e", "é é", "日本語 text 🙂🙂", "<|endoftext|> <|startoftext|>", "_a_b__ ...!!! $$$%%%", "", None, "ˈˇ˘ ǅ ŉ", "ªº ¼", "word " * 5000]
+TEXTS = ["It's we'll DON'T 'S ''s!", "naïve ÇA ß ſ İstanbul", "x² ½ ٣ 1234 ⅷ", "a\x1cb\x85c d \t\n e", "é é", "日本語 text 🙂🙂", "<|endoftext|> <|startoftext|>", "a <|endoftext|> b<|ENDOFTEXT|>c < |endoftext|>", "_a_b__ ...!!! $$$%%%", "", None, "ˈˇ˘ ǅ ŉ", "ªº ¼", "word " * 5000]
 
 
 @lru_cache(1)
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def ids(text):
@@ -35,6 +33,11 @@ def test_words_encode_as_the_library_does():
         assert np.frombuffer(coded, "<u4").tolist() == ids(text)[:-1], text
 
 
+def test_added_tokens_keep_their_ids():
+    coded = next(packing.Encoder(PATH).encode(["a <|endoftext|> b"]))
+    assert np.frombuffer(coded, "<u4").tolist() == [320, 49407, 321]
+
+
 def test_every_latin_character():
     coder = packing.Encoder(PATH)
     text = " ".join(f"a{chr(c)}B{chr(c)} {chr(c)}" for c in range(1, 0x300))
