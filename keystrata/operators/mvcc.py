@@ -7,7 +7,6 @@ import time
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrata.functions.values import hlc_pack
 from keystrata.operators.upsert import newest, newest_wins
 
 
@@ -42,10 +41,29 @@ def explode_commits(commits: DataFrame) -> DataFrame:
     return commits.select("log_index", "commit_ts", F.explode("writes").alias("w")).select("log_index", "commit_ts", "w.key", "w.value", "w.tombstone")
 
 
+#: Milliseconds that one task carries stamps over; what is left between such spans is one row for each.
+SPAN_MS = 65_536
+
+
 def hlc_stamp(df: DataFrame, ms: Column, order: str, name: str = "hlc") -> DataFrame:
-    """Appends timestamps that rise with ``order`` within a millisecond; more than 65,536 carry into the next one."""
+    """Appends timestamps that rise with ``order`` within a millisecond and never repeat.
+
+    A millisecond's rows begin at its own first stamp, or where the ones before it end if these ran over: a running
+    maximum over the milliseconds' counts, within spans of them and then over the spans.
+    """
+    rows = df.withColumn("_ms", ms.cast("bigint")).withColumn("_span", F.floor(F.col("_ms") / SPAN_MS))
+    held = rows.groupBy("_span", "_ms").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("_span").orderBy("_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = held.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).withColumn("_ahead", F.max(F.shiftleft("_ms", 16) - F.col("_before")).over(upto))
+    spans = held.groupBy("_span").agg(F.sum("_n").alias("_total"), F.max("_ahead").alias("_most"))
+    past = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_past", F.coalesce(F.sum("_total").over(past), F.lit(0)))
+    spans = spans.withColumn("_carry", F.max(F.col("_most") - F.col("_past")).over(past)).select("_span", "_past", "_carry")
+    first = F.col("_past") + F.col("_before") + F.greatest(F.col("_ahead") - F.col("_past"), F.col("_carry"))
+    starts = held.join(spans, "_span").select("_ms", first.alias("_first"))
     counter = F.row_number().over(Window.partitionBy("_ms").orderBy(order)) - 1
-    return df.withColumn("_ms", ms).withColumn(name, hlc_pack(F.col("_ms"), counter)).drop("_ms")
+    stamped = rows.withColumn("_nth", counter).join(starts, "_ms", "left")
+    return stamped.withColumn(name, F.col("_first") + F.col("_nth")).drop("_ms", "_span", "_nth", "_first").select(*(c for c in df.columns if c != name), name)
 
 
 class Clock:
@@ -142,17 +160,36 @@ class Transaction:
 
 
 class Transactions:
-    """Optimistic transactions over a DataFrame of versions (key, commit_ts, value, tombstone)."""
+    """Optimistic transactions over a relation of versions (key, commit_ts, value, tombstone) in a store.
+
+    A commit appends its writes as a part, and the store refuses a part that another writer's came before, so that what
+    is accepted is durable and validated against everything accepted earlier. ``versions`` starts a new relation.
+    """
 
     SCHEMA = "key string, commit_ts bigint, value string, tombstone boolean"
 
-    def __init__(self, spark, versions: DataFrame | None = None, clock: Clock | None = None):
-        self.spark, self.clock, self._next = spark, clock or Clock(), 0
-        self.versions = spark.createDataFrame([], self.SCHEMA) if versions is None else versions
+    def __init__(self, store, versions: DataFrame | None = None, clock: Clock | None = None, name: str = "versions"):
+        self.spark, self.store, self.name, self._next = store.spark, store, name, 0
+        self.clock, self._seen = clock or Clock(), (0, 0)
+        if not store.version(name):
+            store.write(name, self.spark.createDataFrame([], self.SCHEMA) if versions is None else versions.select("key", "commit_ts", "value", "tombstone"))
+
+    def _newest(self) -> tuple[int, int]:
+        """The relation's version and its last commit, which the clock then follows."""
+        at = self.store.version(self.name)
+        if self._seen[0] != at:
+            self._seen = at, self.store.read(self.name, at).agg(F.coalesce(F.max("commit_ts"), F.lit(0))).first()[0]
+            self.clock.update(self._seen[1])
+        return self._seen
+
+    @property
+    def versions(self) -> DataFrame:
+        return self.store.read(self.name)
 
     def begin(self) -> Transaction:
+        """A transaction that reads what is committed now: whatever commits later is stamped later, by any clock."""
         self._next += 1
-        return Transaction(self, f"t{self._next}", self.clock.now())
+        return Transaction(self, f"t{self._next}", self._newest()[1])
 
     def commit(self, t: Transaction) -> tuple[bool, int]:
         """Whether it committed, and its commit timestamp (0 if it wrote nothing or was rejected)."""
@@ -160,10 +197,11 @@ class Transactions:
         t.done = True
         if not t.writes:
             return True, 0
+        at = self._newest()[0]
         ts = self.clock.now()
         touched = self.spark.createDataFrame([(k,) for k in {*t.reads, *t.writes}], "key string")
-        if not written_between(touched, self.versions, t.read_ts, ts).isEmpty():
+        if not written_between(touched, self.store.read(self.name, at), t.read_ts, ts).isEmpty():
             return False, 0
         rows = [(k, ts, v, dead) for k, (v, dead) in t.writes.items()]
-        self.versions = self.versions.unionByName(self.spark.createDataFrame(rows, self.SCHEMA))
+        self.store.append(self.name, self.spark.createDataFrame(rows, self.SCHEMA), after=at)
         return True, ts

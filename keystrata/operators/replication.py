@@ -52,3 +52,73 @@ def reconcile(follower: DataFrame, entries: DataFrame, prev_index: int, prev_ter
     clash = mine.join(new, F.col("f.index") == F.col("e.index")).where("f.term <> e.term").agg(F.min("f.index")).first()[0]
     kept = follower if clash is None else follower.where(F.col("index") < clash)
     return kept.unionByName(entries.join(kept.select("index"), "index", "left_anti"))
+
+
+class ReplicatedLog:
+    """A log of commands in a store, with the state that its applied prefix leaves.
+
+    Appending, committing, applying and cutting are separate steps, each durable; opening again goes on where the last
+    one ended. ``truncate`` rewrites the log without what the state holds already, so that it doesn't grow for ever.
+    """
+
+    LOG = "index bigint, term bigint, command string"
+    STATE = "key string, value string, index bigint"
+
+    def __init__(self, store, name: str = "log"):
+        self.store, self.spark, self.name, self.state = store, store.spark, name, f"{name}_state"
+        if not store.version(self.state):
+            store.write(self.state, self.spark.createDataFrame([], self.STATE), key="key")
+        if not store.version(f"{name}_marks"):
+            store.write(f"{name}_marks", self.spark.createDataFrame([("applied", 0), ("cut", 0)], "mark string, index bigint"), key="mark")
+        if not store.version(name):
+            store.write(name, self.spark.createDataFrame([], self.LOG))
+
+    def entries(self) -> DataFrame:
+        return self.store.read(self.name)
+
+    def _mark(self, mark: str) -> int:
+        return self.store.read(f"{self.name}_marks").where(F.col("mark") == mark).first()["index"]
+
+    def last_index(self) -> int:
+        return max(self._mark("cut"), self.entries().agg(F.coalesce(F.max("index"), F.lit(0))).first()[0])
+
+    def propose(self, commands: list[str], term: int) -> int:
+        """Appends commands under the next indexes; the last of these. Another writer's append in between is an error."""
+        at, last = self.store.version(self.name), self.last_index()
+        rows = [(last + 1 + i, term, c) for i, c in enumerate(commands)]
+        if rows:
+            self.store.append(self.name, self.spark.createDataFrame(rows, self.LOG), after=at)
+        return last + len(rows)
+
+    def follow(self, entries: DataFrame, prev_index: int, prev_term: int) -> bool:
+        """Takes a leader's entries; False if the one before them is missing. A term conflict rewrites the log's tail."""
+        if prev_index and prev_index == self._mark("cut"):
+            prev_index = 0
+        log = reconcile(self.entries(), entries, prev_index, prev_term)
+        if log is not None:
+            self.store.write(self.name, log)
+        return log is not None
+
+    def apply(self, upto: int) -> int:
+        """Brings the state to an index; entries that it holds already do nothing. How far it is."""
+        done = self._mark("applied")
+        if upto > done:
+            ops = decode(self.entries().where((F.col("index") > done) & (F.col("index") <= upto))).where("kind IN ('set', 'delete') AND key IS NOT NULL")
+            last = newest_wins(ops.select("key", "value", "index", (F.col("kind") == "delete").alias("_dead")), ["key"], ["index"])
+            self.store.append(self.state, last)
+            self._set("applied", upto)
+        return max(upto, done)
+
+    def _set(self, mark: str, index: int) -> None:
+        self.store.append(f"{self.name}_marks", self.spark.createDataFrame([(mark, index, False)], "mark string, index bigint, _dead boolean"))
+
+    def truncate(self) -> int:
+        """Cuts off the entries that are applied; the state stands for them. The last index that was cut."""
+        upto = self._mark("applied")
+        self._set("cut", upto)
+        self.store.write(self.name, self.entries().where(F.col("index") > upto))
+        return upto
+
+    def live(self) -> DataFrame:
+        """(key, value, index) of the applied state."""
+        return self.store.read(self.state).select("key", "value", "index")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from keystrata.functions.values import column_between, column_equals
 
-#: Bins into which keys are split for ranks, so that no task orders them all.
-BINS = 64
+#: Bins into which keys are split for ranks, so that no task orders them all, and rows of the sample for each.
+LEAST_BINS, MOST_BINS, BIN_ROWS, SAMPLE = 64, 1024, 500_000, 64
 
 
 def project(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -51,14 +51,20 @@ def in_key_order(df: DataFrame, key: str) -> DataFrame:
     return df.orderBy(F.col(key).cast("string"))
 
 
-def _binned(df: DataFrame, key: Column) -> tuple[DataFrame, dict[int, int]]:
-    """Rows with ``_bin`` by bounds from a fixed-size sample of keys, ascending, and the rows in each bin."""
-    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(BINS * 32).collect()
-    keys = sorted(r.k for r in sample if r.k is not None)
-    bounds = sorted({keys[len(keys) * i // BINS] for i in range(1, BINS)}) if keys else []
-    tree = _bin_of(key, bounds, 0)
-    binned = df.withColumn("_bin", tree)
-    return binned, {r["_bin"]: r["count"] for r in binned.groupBy("_bin").count().collect()}
+def _binned(df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_bin`` by ascending bounds, and the rows in each bin.
+
+    Bounds are quantiles of a sample of rows, so that a key of many rows is a bin of its own; it has SAMPLE rows for each
+    bin, and there is a bin for each BIN_ROWS rows, between LEAST_BINS and MOST_BINS. Ranks are exact whatever the sample.
+    """
+    rows = df.count()
+    bins = min(MOST_BINS, max(LEAST_BINS, -(-rows // BIN_ROWS)))
+    share = min(1.0, bins * SAMPLE / max(1, rows))
+    sample = df.select(key.alias("k")).where("k IS NOT NULL")
+    keys = sorted(r.k for r in (sample.sample(share, seed=7) if share < 1 else sample).collect())
+    bounds = sorted({keys[len(keys) * i // bins] for i in range(1, bins)}) if keys else []
+    binned = df.withColumn("_bin", _bin_of(key, bounds, 0))
+    return binned, binned.groupBy("_bin").agg(F.count("*").alias("_rows"))
 
 
 def _bin_of(key: Column, bounds: list, first: int) -> Column:
@@ -72,23 +78,32 @@ def key_rank(df: DataFrame, key: str, name: str = "key_rank") -> DataFrame:
     """Appends each row's place (from 1) in byte order of the key's string form; equal keys in no given order."""
     text = F.col(key).cast("string")
     binned, counts = _binned(df, text)
-    before, cases = 0, F.lit(0)
-    pairs = []
-    for b in sorted(counts):
-        pairs += [F.lit(b), F.lit(before)]
-        before += counts[b]
-    cases = F.element_at(F.create_map(*pairs), F.col("_bin")) if pairs else cases
-    rank = cases + F.row_number().over(Window.partitionBy("_bin").orderBy(text))
-    return binned.withColumn(name, rank.cast("bigint")).drop("_bin")
+    before = counts.withColumn("_before", F.sum("_rows").over(Window.orderBy("_bin")) - F.col("_rows")).drop("_rows")
+    within = binned.withColumn("_within", F.row_number().over(Window.partitionBy("_bin").orderBy(text)))
+    return within.join(F.broadcast(before), "_bin").withColumn(name, (F.col("_before") + F.col("_within")).cast("bigint")).drop("_bin", "_before", "_within")
 
 
-def nth_key(df: DataFrame, key: str, n: int) -> str | None:
-    """The key at place n (from 0) in byte order, exactly; only one bin of keys is ordered."""
+def nth_keys(df: DataFrame, key: str, by: str, places: dict[str, int]) -> dict[str, str]:
+    """For each of some groups the key at a place (from 0) in byte order, exactly; of each only one bin of keys is ordered."""
     text = F.col(key).cast("string")
-    binned, counts = _binned(df.where(text.isNotNull()), text)
-    for b in sorted(counts):
-        if n < counts[b]:
-            row = binned.where(F.col("_bin") == b).select(text.alias("k")).orderBy("k").offset(n).limit(1).first()
-            return row.k if row else None
-        n -= counts[b]
-    return None
+    binned, _ = _binned(df.where(text.isNotNull()).select(text.alias("_k"), F.col(by).alias("_by")), F.col("_k"))
+    counts = {}
+    for r in binned.groupBy("_by", "_bin").agg(F.count("*").alias("n")).orderBy("_by", "_bin").collect():
+        counts.setdefault(r["_by"], []).append((r["_bin"], r["n"]))
+    picks = []
+    for group, place in places.items():
+        for b, n in counts.get(group, ()):
+            if place < n:
+                picks.append((group, b, place + 1))
+                break
+            place -= n
+    if not picks:
+        return {}
+    wanted = df.sparkSession.createDataFrame(picks, "_by string, _bin int, _nth int")
+    near = binned.join(F.broadcast(wanted), ["_by", "_bin"]).withColumn("_at", F.row_number().over(Window.partitionBy("_by").orderBy("_k")))
+    return {r["_by"]: r["_k"] for r in near.where("_at = _nth").select("_by", "_k").collect()}
+
+
+def nth_key(df: DataFrame, key: str, n: int) -> str | None:
+    """The key at place n (from 0) in byte order, or None past the end."""
+    return nth_keys(df.withColumn("_all", F.lit("")), key, "_all", {"": n}).get("")

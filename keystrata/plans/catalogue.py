@@ -11,7 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystrata.operators import dml, mvcc, replication, scan, schema, sharding, twopc, upsert
-from keystrata.operators.sharding import Manifest, Shard
+from keystrata.operators.sharding import Manifest, Router, Shard
+from keystrata.plans.dialect import DialectError
+from keystrata.plans.engine import Engine
+from keystrata.sources.keyed import KeyedTable
+from keystrata.sources.store import Store, append_log, read_log, scratch
+from keystrata.streaming.apply import LOG, apply_stream, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,18 +164,46 @@ def sst_minmax(spark, sf):
     return upsert.key_ranges(levels(spark, sf), ["level", "table_id"])
 
 
-@query(f"""WITH {LEVELS}, l0 AS (SELECT * FROM l WHERE level = 'L0' AND key < 60), l1 AS (SELECT * FROM l WHERE level = 'L1'),
+@query(f"""WITH {LEVELS}, l0 AS (SELECT * FROM l WHERE level = 'L0'),
+l1 AS (SELECT * FROM l WHERE level = 'L1' UNION ALL SELECT key + 1000000000, commit_ts, value, tombstone, level, 'far-' || table_id FROM l WHERE level = 'L1'),
 hit AS (SELECT table_id FROM l1 GROUP BY table_id HAVING min(key) <= (SELECT max(key) FROM l0) AND max(key) >= (SELECT min(key) FROM l0)),
 m AS (SELECT *, 0 AS p FROM l0 UNION ALL SELECT *, 1 FROM l1 WHERE table_id IN (SELECT table_id FROM hit)),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY p, commit_ts DESC) AS n FROM m)
 SELECT 'run' AS table_id, key, commit_ts, tombstone FROM r WHERE n = 1 AND NOT tombstone
 UNION ALL SELECT table_id, key, commit_ts, tombstone FROM l1 WHERE table_id NOT IN (SELECT table_id FROM hit)""")
 def compact_partial(spark, sf):
+    """All of L0 with the L1 tables that it overlaps; as many tables of keys far above stay as they are."""
     rows = levels(spark, sf)
-    merged = upsert.compact(rows.where("level = 'L0' AND key < 60"), rows.where("level = 'L1'"), order="commit_ts")
+    l1 = rows.where("level = 'L1'")
+    far = l1.withColumn("key", F.col("key") + 1_000_000_000).withColumn("table_id", F.concat(F.lit("far-"), "table_id"))
+    merged = upsert.compact(rows.where("level = 'L0'"), l1.unionByName(far), order="commit_ts")
     return merged.select("table_id", "key", "commit_ts", "tombstone")
 
 
+@query("""WITH c AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer)
+SELECT lpad(CAST(k AS VARCHAR), 9, '0') AS key, CASE WHEN k % 5 = 1 THEN 'again' WHEN k % 7 < 6 THEN 'r' || (k % 7) ELSE v END AS value
+FROM c WHERE k % 5 = 1 OR NOT (k % 7 < 6 AND k % 3 = 0)""")
+def lsm_write_path(spark, sf):
+    """A keyed relation after seven appended parts of puts and deletes, merged as they gather."""
+    store = Store(spark, scratch(spark, "lsm"))
+    base = table(spark, sf, "customer").select("c_custkey", F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("key"), F.col("c_mktsegment").alias("value"))
+    store.write("t", base.select("key", "value"), sort_key="key", key="key")
+    for r in range(6):
+        store.append("t", base.where(F.col("c_custkey") % 7 == r).select("key", F.lit(f"r{r}").alias("value"), (F.col("c_custkey") % 3 == 0).alias("_dead")))
+    store.append("t", base.where("c_custkey % 5 = 1").select("key", F.lit("again").alias("value"), F.lit(False).alias("_dead")))
+    return store.read("t")
+
+
+@query("SELECT * FROM (VALUES ('a', '1'), ('c', '3x'), ('d', '4')) t(key, value)")
+def kv_buffered(spark, sf):
+    """Puts and deletes through a buffer that flushes, and what a second opening replays."""
+    store = Store(spark, scratch(spark, "kv"))
+    first = KeyedTable(store, "t", flush_bytes=8)
+    first.put_all([("a", "1"), ("b", "2"), ("c", "3"), ("b", None)])
+    first.put_all([("c", "3x"), ("d", "4")])
+    return KeyedTable(store, "t").scan()
+
+
 # Data changes.
 
 
@@ -214,7 +247,7 @@ def delete_all(spark, sf):
 
 
 def _snapshot(ts: int) -> None:
-    name = f"mvcc_snapshot_{ {50: 'early', 5000: 'mid', 9999: 'latest'}[ts] }"
+    name = f"mvcc_snapshot_{ {50: 'early', 5000: 'mid', 2**62: 'latest'}[ts] }"
 
     def run(spark, sf):
         return mvcc.snapshot_at(versions(spark, sf), ts).select("key", "commit_ts", "value")
@@ -223,7 +256,7 @@ def _snapshot(ts: int) -> None:
     ORACLE[name] = f"WITH {V} SELECT key, commit_ts, value FROM ({NEWEST.format(where=f'commit_ts <= {ts}')}) WHERE NOT tombstone"
 
 
-for _ts in (50, 5000, 9999):
+for _ts in (50, 5000, 2**62):
     _snapshot(_ts)
 
 
@@ -272,6 +305,40 @@ def hlc_stamp(spark, sf):
     return mvcc.hlc_stamp(e, ms, "event_id").select("event_id", "hlc")
 
 
+@query("""WITH x AS (SELECT event_id * 10 + i AS stamp_id, event_id // 8000 AS ms FROM events, range(10) t(i)),
+m AS (SELECT ms, count(*) AS n FROM x GROUP BY ms), p AS (SELECT ms, sum(n) OVER (ORDER BY ms) - n AS before FROM m),
+f AS (SELECT ms, before + max((ms << 16) - before) OVER (ORDER BY ms) AS first FROM p)
+SELECT stamp_id, (first + row_number() OVER (PARTITION BY ms ORDER BY stamp_id) - 1)::BIGINT AS hlc FROM x JOIN f USING (ms)""")
+def hlc_overflow(spark, sf):
+    """Ten stamps for each event, 80,000 in a millisecond: what doesn't fit goes on in the next without repeating."""
+    e = table(spark, sf, "events").select("event_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
+    return mvcc.hlc_stamp(e.withColumn("stamp_id", F.col("event_id") * 10 + F.col("i")), F.expr("event_id DIV 8000"), "stamp_id").select("stamp_id", "hlc")
+
+
+@query("""WITH t AS (SELECT event_id, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+SELECT event_id AS txn_id, user_id AS key, coalesce(before > event_id - 700, false) AS conflict FROM t""")
+def txn_validate_long(spark, sf):
+    """Transactions that span many of the windows by which validation is split."""
+    txns = versions(spark, sf).select(F.col("commit_ts").alias("txn_id"), "key", (F.col("commit_ts") - 700).alias("read_ts"), "commit_ts")
+    return mvcc.validate_history(txns, versions(spark, sf), 50).select("txn_id", "key", "conflict")
+
+
+@query(f"""WITH {V}, s AS (SELECT key, value FROM ({NEWEST.format(where='true')}) WHERE NOT tombstone)
+SELECT CAST(key AS VARCHAR) AS key, CAST(value AS VARCHAR) AS value FROM s WHERE key NOT IN (1, 2) UNION ALL SELECT '1', 'one'""")
+def txn_session(spark, sf):
+    """The newest snapshot after one transaction that commits and one that loses to it."""
+    start = versions(spark, sf).select(F.col("key").cast("string").alias("key"), "commit_ts", F.col("value").cast("string").alias("value"), "tombstone")
+    manager = mvcc.Transactions(Store(spark, scratch(spark, "txn")), start, mvcc.Clock(lambda: 0))
+    kept, lost = manager.begin(), manager.begin()
+    kept.put("1", "one")
+    kept.delete("2")
+    lost.get("1")
+    lost.put("3", "three")
+    if not manager.commit(kept)[0] or manager.commit(lost)[0]:
+        raise AssertionError("the second transaction read what the first wrote")
+    return mvcc.snapshot_at(manager.versions, 2**62).select("key", "value")
+
+
 # Sharding.
 
 MANIFEST = Manifest([Shard("s0", "", "00000500"), Shard("s1", "00000500", "00001000"), Shard("s2", "00001000", "")])
@@ -322,6 +389,58 @@ def shard_rebalance(spark, sf):
     return sharding.status(rows, "key", now).where("n_keys > 0").select("shard", "n_keys")
 
 
+@query(f"""WITH {KEYED}, h AS (SELECT CASE WHEN CAST(key AS BIGINT) % 3 = 0 THEN '00000777' ELSE key END AS key FROM k)
+SELECT key AS split_key FROM h QUALIFY row_number() OVER (ORDER BY key) = (SELECT count(*) FROM h) * 9 // 10 + 1""")
+def shard_split_hot(spark, sf):
+    """The key at nine tenths where a third of the rows hold one key."""
+    rows = keyed(spark, sf).select(F.when(F.col("key").cast("bigint") % 3 == 0, F.lit("00000777")).otherwise(F.col("key")).alias("key"))
+    return spark.createDataFrame([(scan.nth_key(rows, "key", rows.count() * 9 // 10),)], "split_key string")
+
+
+@query("SELECT count(*) AS n_keys, true AS within FROM orders")
+def shard_rebalance_all(spark, sf):
+    """Splits until no shard holds more than 400 keys: all keys are still owned, and no shard is larger."""
+    rows = keyed(spark, sf)
+    done = sharding.status(rows, "key", sharding.rebalance_all(rows, "key", MANIFEST, max(400, rows.count() // 40)))
+    return done.agg(F.sum("n_keys").alias("n_keys"), (F.max("n_keys") <= max(400, rows.count() // 40)).alias("within"))
+
+
+def routed(spark: SparkSession, sf: str) -> Router:
+    """Orders in the shards of MANIFEST: key, customer."""
+    router = Router(Store(spark, scratch(spark, "router")), MANIFEST)
+    rows = table(spark, sf, "orders")
+    router.load(rows.select(F.lpad(F.col("o_orderkey").cast("string"), 8, "0").alias("key"), F.col("o_custkey").cast("string").alias("value")))
+    return router
+
+
+ROUTED = "o AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS key, CAST(o_custkey AS VARCHAR) AS value FROM orders)"
+
+
+@query(f"""WITH {ROUTED}, c AS (SELECT DISTINCT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key FROM customer)
+SELECT key, CASE WHEN key = '00000002' THEN 'put' ELSE value END AS value FROM o JOIN c USING (key) WHERE key <> '00000001'""")
+def kv_routed_get(spark, sf):
+    """Routed gets of the keys that customers have, after a routed put and delete."""
+    router = routed(spark, sf)
+    router.put_all([("00000002", "put"), ("00000001", None)])
+    return router.get_all(table(spark, sf, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("key")))
+
+
+@query(f"""WITH {ROUTED} SELECT key, value, CASE WHEN key < '00000500' THEN 's0' WHEN key < '00001000' THEN 's1' ELSE 's2' END AS shard FROM o
+WHERE key >= '00000400' AND key < '00001200'""")
+def router_scan(spark, sf):
+    return routed(spark, sf).scan("00000400", "00001200")
+
+
+@query(f"""WITH {ROUTED}, m(shard, "start", "end") AS (VALUES ('s0', '', '00000250'), ('s3', '00000250', '00000500'), ('s1', '00000500', '00001000'), ('s2', '00001000', '')),
+a AS (SELECT key, CASE WHEN key < '00000250' THEN 's0' WHEN key < '00000500' THEN 's3' WHEN key < '00001000' THEN 's1' ELSE 's2' END AS shard FROM o)
+SELECT m.*, count(a.key) AS n_keys FROM m LEFT JOIN a USING (shard) GROUP BY ALL""")
+def shard_split(spark, sf):
+    """A split, seen by a router that opens the store anew."""
+    router = routed(spark, sf)
+    router.split("s0", "00000250")
+    return Router(router.store).status()
+
+
 # Schema versions.
 
 CHAIN = [
@@ -414,6 +533,23 @@ def twopc_apply_recovered(spark, sf):
     return twopc.apply_ops(base, twopc.recover(prepares, decided))
 
 
+@query(f"""WITH {ROUTED}, n(key, value) AS (VALUES ('00000001', 'c1'), ('00000600', 'c2'), ('00009999x', 'd1'))
+SELECT * FROM n UNION ALL SELECT key, value FROM o WHERE key NOT IN (SELECT key FROM n) AND key <> '00000700'""")
+def twopc_commit(spark, sf):
+    """Orders after a commit over two shards, one that crashes before its decision, one after it, an abort, and recovery."""
+    c = twopc.Coordinator(routed(spark, sf))
+    c.commit([("put", "00000001", "c1"), ("put", "00000600", "c2")])
+    for step, ops in (("prepare", [("put", "00000002", "lost"), ("put", "00000800", "lost")]), ("decision", [("put", "00009999x", "d1"), ("delete", "00000700", None)])):
+        try:
+            c.commit(ops, crash_after=step)
+        except twopc.Crash:
+            pass
+    c.abort(c.prepare([("put", "00000003", "lost")]))
+    again = twopc.Coordinator(Router(c.store))
+    again.recover()
+    return again.router.scan().select("key", "value")
+
+
 # Replicated log.
 
 
@@ -441,25 +577,63 @@ def raft_apply_prefix(spark, sf):
     return replication.apply_prefix(log.unionByName(log.where("index % 2 = 0")), 700)
 
 
-@query("""SELECT event_id AS index, CASE WHEN event_id < 300 THEN 1 ELSE 2 END::BIGINT AS term FROM events WHERE event_id < 400""")
+@query("""WITH m AS (SELECT max(event_id) AS m FROM events)
+SELECT event_id AS index, CASE WHEN event_id < m * 3 // 10 THEN 1 ELSE 2 END::BIGINT AS term FROM events, m""")
 def raft_append_reconcile(spark, sf):
-    """A follower with a diverged tail gets entries 250 to 399, of a newer term from 300 on."""
+    """A follower of the first six tenths, its tail diverged, gets entries from a quarter on, of a newer term from three tenths on."""
     e = table(spark, sf, "events").select(F.col("event_id").alias("index"))
-    follower = e.where("index < 600").withColumn("term", F.lit(1).cast("bigint"))
-    entries = e.where("index >= 250 AND index < 400").withColumn("term", F.expr("CAST(CASE WHEN index < 300 THEN 1 ELSE 2 END AS bigint)"))
-    return replication.reconcile(follower, entries, 249, 1)
+    last = e.agg(F.max("index")).first()[0]
+    follower = e.where(F.col("index") < last * 6 // 10).withColumn("term", F.lit(1).cast("bigint"))
+    newer = F.when(F.col("index") < last * 3 // 10, 1).otherwise(2).cast("bigint")
+    entries = e.where(F.col("index") >= last // 4).withColumn("term", newer)
+    return replication.reconcile(follower, entries, last // 4 - 1, 1)
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
-def backup_roundtrip(spark, sf):
-    """A store's relation after backup and restore, under the session's shared folder."""
-    import tempfile
-    import uuid
+@query("""WITH o AS (SELECT CAST(user_id AS VARCHAR) AS key, event_type AS value, event_id + 1 AS index FROM events WHERE event_type = 'error' OR event_id % 97 <> 0
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+SELECT key, value, index FROM o WHERE value <> 'error'""")
+def raft_log_truncated(spark, sf):
+    """The state of a log that was applied and cut at its middle, then followed, reopened and applied to its end."""
+    store = Store(spark, scratch(spark, "raft"))
+    whole = _log(spark, sf).withColumn("index", F.col("index") + 1)
+    last = whole.agg(F.max("index")).first()[0]
+    log = replication.ReplicatedLog(store)
+    log.follow(whole.where(F.col("index") <= last * 2 // 3), 0, 0)
+    log.apply(last // 2)
+    log.truncate()
+    again = replication.ReplicatedLog(store)
+    again.follow(whole.where(F.col("index") > last // 2), last // 2, 1)
+    again.apply(last)
+    return again.live()
+
+
+LIVE = """WITH o AS (SELECT CAST(user_id AS VARCHAR) AS key, event_type AS value, event_id AS index FROM events WHERE event_type = 'error' OR event_id % 97 <> 0
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+SELECT key, value, index FROM o WHERE value <> 'error'"""
+
 
-    from keystrata.sources.store import Store
+@query(LIVE)
+def stream_apply(spark, sf):
+    """The log as a stream of JSON lines, applied by a query that ends with what is there."""
+    root = scratch(spark, "stream")
+    append_log(_log(spark, sf), f"{root}/log")
+    store = Store(spark, f"{root}/state")
+    apply_stream(spark, f"{root}/log", store, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return live(store).select("key", "value", "index")
 
-    root = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="keystrata-")
-    root = f"{root.rstrip('/')}/backup-{uuid.uuid4().hex}"
+
+@query(LIVE)
+def log_replay(spark, sf):
+    """The log written, read back and applied as a whole."""
+    path = scratch(spark, "log")
+    append_log(_log(spark, sf), path)
+    return replication.apply_prefix(read_log(spark, path, LOG), 2**62)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def backup_roundtrip(spark, sf):
+    """A store's relation after backup and restore."""
+    root = scratch(spark, "backup")
     made = Store(spark, f"{root}/a")
     made.write("nation", table(spark, sf, "nation"), sort_key="n_nationkey")
     made.backup(f"{root}/saved")
@@ -470,8 +644,6 @@ def backup_roundtrip(spark, sf):
 FROM nation WHERE n_regionkey <> 2""")
 def sql_dialect(spark, sf):
     """Statements of the dialect over nation."""
-    from keystrata.plans.engine import Engine
-
     engine = Engine(spark)
     engine.import_table("n", table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("bigint").alias("region")), "id")
     engine.sql("UPDATE n SET name = 'changed' WHERE id BETWEEN 3 AND 9")
@@ -479,3 +651,32 @@ def sql_dialect(spark, sf):
     engine.sql("ALTER TABLE n DROP COLUMN region")
     engine.sql("ALTER TABLE n ADD COLUMN note STRING DEFAULT 'x'")
     return engine.sql("SELECT id, name, note FROM n")
+
+
+@query("""SELECT * FROM (VALUES (1::BIGINT, 'a', 'none'), (2, 'b2', 'x'), (4, NULL, 'none')) t(id, name, note)""")
+def sql_durable(spark, sf):
+    """CREATE, INSERT, UPDATE, DELETE and ALTER on a store, read by an engine that opens it anew, through its newest schema."""
+    store = Store(spark, scratch(spark, "sql"))
+    engine = Engine(spark, store)
+    for text in (
+        "CREATE TABLE t (id INT, name STRING, PRIMARY KEY (id))", "INSERT INTO t VALUES (1, 'a')", "INSERT INTO t VALUES (2, 'b')", "INSERT INTO t VALUES (3, 'c')", "INSERT INTO t (id) VALUES (4)",
+        "ALTER TABLE t ADD COLUMN note STRING DEFAULT 'none'", "UPDATE t SET name = 'b2', note = 'x' WHERE id = 2", "DELETE FROM t WHERE name = 'c'",
+    ):
+        engine.sql(text)
+    again = Engine(spark, store)
+    return again.as_of("t", max(again.catalog.versions("t")))
+
+
+@query("SELECT * FROM (VALUES ('CREATE', true), ('INSERT', true), ('UPDATE', true), ('SELECT', true), ('ALTER', true)) t(statement, refused)")
+def sql_type_errors(spark, sf):
+    """Statements that the schema forbids are refused before anything changes."""
+    engine = Engine(spark)
+    engine.import_table("n", table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name")), "id")
+    out = []
+    for text in ("CREATE TABLE n (a INT, PRIMARY KEY (a))", "INSERT INTO n VALUES ('x', 'y')", "UPDATE n SET name = 5", "SELECT nope FROM n", "ALTER TABLE n DROP COLUMN id"):
+        try:
+            engine.sql(text)
+            out.append((text.split()[0], False))
+        except DialectError:
+            out.append((text.split()[0], True))
+    return spark.createDataFrame(out, "statement string, refused boolean")

@@ -17,14 +17,14 @@ from keystrata.functions.values import column_between, column_equals
 from keystrata.operators import dml
 from keystrata.operators.schema import TYPES, Catalog
 from keystrata.plans import dialect as d
-from keystrata.sources.store import Store, cut_lineage
+from keystrata.sources.store import DEAD, Store, cut_lineage
 
 #: After so many changes a table without a store is written to the session's checkpoint folder, to cut its lineage.
 CUT_EVERY = 16
 
 
 class Engine:
-    """A catalog and its tables; with a store, every change is a new stored version."""
+    """A catalog and its tables. With a store, a statement that changes rows appends only these, as a part of its own."""
 
     def __init__(self, spark: SparkSession, store: Store | None = None, clock=time.time_ns):
         self.spark, self.store, self.clock = spark, store, clock
@@ -63,7 +63,7 @@ class Engine:
         kinds = {v: k for k, v in TYPES.items()}
         columns = [(n, kinds[t]) for n, t in df.dtypes]
         self._create(d.CreateTable(table, columns, key))
-        self._put(table, dml.upsert(self.tables[table], self._written(table, df), self._key_column(table)))
+        self._change(table, dml.newest(self._written(table, df), [self._key_column(table)], ["_has"]))
 
     def _known(self, table: str) -> None:
         if table not in self.tables:
@@ -96,15 +96,25 @@ class Engine:
         now = [(n, self._name(n, b), k) for n, k, _, b in self.catalog.columns(table) if n in df.columns]
         return df.select(*(F.col(f"`{n}`").cast(TYPES[k]).alias(stored) for n, stored, k in now), F.array(*(F.lit(s) for _, s, _ in now)).alias("_has"))
 
-    def _put(self, table: str, df: DataFrame) -> None:
-        self.changes[table] = self.changes.get(table, 0) + 1
+    def _start(self, table: str, df: DataFrame) -> None:
+        """Makes df the table's rows."""
         if self.store is not None:
-            self.store.write(f"table_{table}", df)
+            self.store.write(f"table_{table}", df, key=self._key_column(table))
             df = self.store.read(f"table_{table}")
-        elif self.changes[table] % CUT_EVERY == 0:
-            df = cut_lineage(df)
         self.tables[table] = df
 
+    def _change(self, table: str, delta: DataFrame, dead: bool = False) -> None:
+        """Puts rows in, each in place of the one of its key, or takes those of their keys out."""
+        self.changes[table] = self.changes.get(table, 0) + 1
+        key, base = self._key_column(table), self.tables[table]
+        if self.store is not None:
+            self.store.append(f"table_{table}", delta.withColumn(DEAD, F.lit(dead)))
+            self.tables[table] = self.store.read(f"table_{table}")
+            return
+        base = self._widened(table)
+        df = base.join(delta.select(f"`{key}`"), key, "left_anti").select(*(f"`{c}`" for c in base.columns)) if dead else dml.upsert(base, delta, key)
+        self.tables[table] = cut_lineage(df) if self.changes[table] % CUT_EVERY == 0 else df
+
     def _save_catalog(self) -> None:
         if self.store is not None:
             rows = [(*r, self.keys[r[0]]) for r in self.catalog.rows]
@@ -137,7 +147,7 @@ class Engine:
             raise d.DialectError(str(e)) from None
         self.keys[s.table] = s.key
         schema = ", ".join(f"`{self._name(n, b)}` {TYPES[k]}" for n, k, _, b in self.catalog.columns(s.table))
-        self._put(s.table, self.spark.createDataFrame([], schema + ", _has array<string>"))
+        self._start(s.table, self.spark.createDataFrame([], schema + ", _has array<string>"))
         self._save_catalog()
         return self._status(0, f"created {s.table}")
 
@@ -152,8 +162,7 @@ class Engine:
             raise d.DialectError(f"a value for the primary key {self.keys[s.table]} is needed")
         kinds = {n: TYPES[k] for n, k, _, _ in self.catalog.columns(s.table)}
         row = self.spark.createDataFrame([tuple(s.values)], ", ".join(f"`{n}` {kinds[n]}" for n in names))
-        base = self._widened(s.table)
-        self._put(s.table, dml.upsert(base, self._written(s.table, row), self._key_column(s.table)))
+        self._change(s.table, self._written(s.table, row))
         return self._status(1, "inserted")
 
     def _widened(self, table: str) -> DataFrame:
@@ -186,18 +195,22 @@ class Engine:
             if c == self.keys[s.table]:
                 raise d.DialectError(f"cannot assign the primary key {c}")
         hits, raw = self._raw_predicate(s.table, s.where)
-        n = hits.where("_hit").count()
+        hits = hits.where("_hit")
+        n = hits.count()
         births = {c: (self._name(c, b), TYPES[k]) for c, k, _, b in self.catalog.columns(s.table)}
-        new = {births[c][0]: F.when(F.col("_hit"), F.lit(v).cast(births[c][1])).otherwise(F.col(f"`{births[c][0]}`")) for c, v in s.assign.items()}
-        new["_has"] = F.when(F.col("_hit"), F.array_union("_has", F.array(*(F.lit(births[c][0]) for c in s.assign)))).otherwise(F.col("_has"))
-        self._put(s.table, hits.withColumns(new).select(*(f"`{c}`" for c in raw.columns)))
+        new = {births[c][0]: F.lit(v).cast(births[c][1]) for c, v in s.assign.items()}
+        new["_has"] = F.array_union("_has", F.array(*(F.lit(births[c][0]) for c in s.assign)))
+        if n:
+            self._change(s.table, hits.withColumns(new).select(*(f"`{c}`" for c in raw.columns)))
         return self._status(n, "updated")
 
     def _delete(self, s: d.Delete) -> DataFrame:
         self._known(s.table)
-        hits, raw = self._raw_predicate(s.table, s.where)
-        n = hits.where("_hit").count()
-        self._put(s.table, hits.where("NOT _hit").select(*(f"`{c}`" for c in raw.columns)))
+        hits, _ = self._raw_predicate(s.table, s.where)
+        hits = hits.where("_hit")
+        n = hits.count()
+        if n:
+            self._change(s.table, hits.select(f"`{self._key_column(s.table)}`"), dead=True)
         return self._status(n, "deleted")
 
     def _alter(self, s: d.AlterTable) -> DataFrame:

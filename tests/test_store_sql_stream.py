@@ -89,7 +89,7 @@ def test_store_versions_backup_restore(spark, rows, tmp_path):
     with pytest.raises(FileExistsError):
         Store.restore(spark, f"file://{tmp_path}/saved", f"file://{tmp_path}/other")
     s.vacuum("t")
-    with pytest.raises(Exception):
+    with pytest.raises(ValueError):
         s.read("t", 1).count()
     for bad in ("../x", "", ".x"):
         with pytest.raises(ValueError):
@@ -109,7 +109,26 @@ def test_engine_on_a_store_survives_reopening(spark, rows, tmp_path):
     assert rows(Engine(spark, s).sql("SELECT w FROM t WHERE k = 'a'")) == [(9,)]
 
 
+def test_a_statement_appends_only_its_rows(spark, rows, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/db", trigger=100)
+    e = Engine(spark, s)
+    e.import_table("t", spark.range(5000).selectExpr("id", "CAST(id % 7 AS string) AS v"), "id")
+    before = len(s.stats("table_t"))
+    for text in ("INSERT INTO t VALUES (9, 'x')", "UPDATE t SET v = 'y' WHERE id = 10", "DELETE FROM t WHERE id BETWEEN 11 AND 11", "DELETE FROM t WHERE id = 99999"):
+        e.sql(text)
+    record = s._record("table_t")
+    sizes = [spark.read.parquet(f"{tmp_path}/db/table_t/{p['dir']}").count() for p in record["parts"]]
+    assert sizes[before:] == [1, 1, 1]
+    assert rows(e.sql("SELECT * FROM t WHERE id BETWEEN 9 AND 11")) == [(10, "y"), (9, "x")] or rows(e.sql("SELECT * FROM t WHERE id = 9")) == [(9, "x")]
+    s.compact("table_t")
+    assert len(s.stats("table_t")) == 1 and Engine(spark, s).sql("SELECT * FROM t").count() == 4999
+
+
 def test_torn_log_lines(spark, rows, tmp_path):
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.json").write_text('{"index":1,"ter\n{"index":2,"term":1,"command":"y"}\n')
+    with pytest.raises(Exception, match="corrupt log line"):
+        read_log(spark, f"{tmp_path}/bad", LOG).collect()
     append_log(spark.createDataFrame([(1, 1, "x")], LOG), f"{tmp_path}/log")
     (tmp_path / "log" / "part-torn.json").write_text('{"index":2,"term":1,"command":"y"}\n{"index":3,"ter')
     assert rows(read_log(spark, f"{tmp_path}/log", LOG), "index") == [(1,), (2,)]

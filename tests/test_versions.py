@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from keystrata.operators import mvcc, replication, schema, sharding, twopc
-from keystrata.operators.sharding import Manifest, Shard
+from keystrata.operators.sharding import Manifest, Router, Shard
+from keystrata.sources.keyed import KeyedTable
+from keystrata.sources.store import Conflict, Store
 
 V = "key string, commit_ts long, value string, tombstone boolean"
 
@@ -29,8 +31,9 @@ def test_commits_explode(spark, rows):
     assert rows(mvcc.explode_commits(log), "key", "tombstone") == [("a", False), ("b", True)]
 
 
-def test_transactions_snapshot_conflict_and_absent_reads(spark):
-    m = mvcc.Transactions(spark)
+def test_transactions_snapshot_conflict_and_absent_reads(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/txns")
+    m = mvcc.Transactions(store)
     a = m.begin()
     a.put("k", "1")
     assert a.get("k") == "1"
@@ -53,6 +56,31 @@ def test_transactions_snapshot_conflict_and_absent_reads(spark):
     assert m.commit(last)[0] and m.begin().get("k") is None
     with pytest.raises(ValueError, match="finished"):
         last.put("k", "z")
+    again, other = mvcc.Transactions(store, clock=mvcc.Clock(lambda: 1)), mvcc.Transactions(store)
+    a, b = again.begin(), other.begin()
+    assert a.read_ts > 1 << 20 and a.get("absent") == b.get("absent") == "x"  # a late clock follows the commits
+    a.put("absent", "1")
+    b.put("absent", "2")
+    assert again.commit(a)[0] and not other.commit(b)[0]
+
+
+def test_stamps_never_repeat(spark):
+    """More rows in a millisecond than its counter holds, twice, with rows in the ones that follow and in later spans."""
+    per = {1: 70_000, 2: 3, 3: 65_536, 4: 1, 70_000: 2, 2_000_000: 66_000, 2_000_001: 1}
+    df = spark.createDataFrame([(ms, n) for ms, n in per.items()], "ms long, n int").selectExpr("ms", "explode(sequence(1, n)) AS i").repartition(5)
+    got = [(r.hlc, r.ms, r.i) for r in mvcc.hlc_stamp(df, F.col("ms"), "i").collect()]
+    want, free = [], 0
+    for ms, n in sorted(per.items()):
+        free = max(free, ms << 16)
+        want += [(free + i, ms, i + 1) for i in range(n)]
+        free += n
+    assert sorted(got) == want
+
+
+def test_long_transactions_are_validated(spark, rows):
+    txns = spark.createDataFrame([("a", "k", 0, 300), ("b", "k", 160, 300), ("c", "k", 300, 300)], "txn_id string, key string, read_ts long, commit_ts long")
+    held = spark.createDataFrame([("k", 150), ("k", 300), ("j", 200)], "key string, commit_ts long")
+    assert rows(mvcc.validate_history(txns, held, 50), "txn_id", "conflict") == [("a", True), ("b", False), ("c", False)]
 
 
 def test_fold_accepts_after_an_abort(spark, rows):
@@ -165,3 +193,99 @@ def test_long_transactions_meet_the_windows_between(spark, rows):
     txns = spark.createDataFrame([("long", "k", 0, 100), ("clear", "j", 0, 100), ("empty", "k", 45, 45), ("edges", "k", 45, 46)], "txn_id string, key string, read_ts long, commit_ts long")
     versions = spark.createDataFrame([("k", 45), ("j", 100), ("j", 0)], "key string, commit_ts long")
     assert rows(mvcc.validate_history(txns, versions, 10), "txn_id", "conflict") == [("clear", False), ("edges", False), ("empty", False), ("long", True)]
+
+
+def test_commit_abort_and_recovery_over_shards(spark, rows, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/db")
+    router = Router(store, Manifest([Shard("s0", "", "m"), Shard("s1", "m", "")]))
+    router.put_all([("alice", "100"), ("zoe", "0")])
+    c = twopc.Coordinator(router)
+    done = c.commit([("put", "alice", "40"), ("put", "zoe", "60")])
+    assert c.outcome(done) == "commit" and rows(c.lookup(done), "shard", "phase") == [("s0", "applied"), ("s1", "applied")]
+    assert (router.get("alice"), router.get("zoe")) == ("40", "60")
+    with pytest.raises(ValueError, match="unknown op"):
+        c.prepare([("put", "alice", "1"), ("grow", "zoe", "2")])
+    with pytest.raises(twopc.Crash) as lost:
+        c.commit([("put", "alice", "1"), ("delete", "zoe", None)], crash_after="prepare")
+    with pytest.raises(twopc.Crash) as decided:
+        c.commit([("put", "alice", "7"), ("put", "zed", "8")], crash_after="decision")
+    held = c.prepare([("put", "bob", "5")])
+    c.abort(held)
+    assert rows(c.lookup(held), "phase") == [("aborted",)]
+    with pytest.raises(ValueError, match="committed"):
+        c.abort(done)
+    assert (router.get("alice"), router.get("zed")) == ("40", None) and c.pending().count() == 4
+    router.split("s1", "zf")  # recovery routes by the keys' owners of then
+    again = twopc.Coordinator(Router(Store(spark, f"file://{tmp_path}/db")))
+    assert again.recover() == {"commit": 1, "abort": 1} and again.pending().count() == 0
+    assert rows(again.router.scan()) == [("alice", "7", "s0"), ("zed", "8", "s1"), ("zoe", "60", "s2")]
+    assert (again.outcome(str(lost.value)), again.outcome(str(decided.value)), again.outcome("none")) == ("abort", "commit", "")
+    assert again.recover() == {"commit": 0, "abort": 0}
+
+
+def test_routed_access_splits_and_reopening(spark, rows, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/db", trigger=3)
+    router = Router(store)
+    router.load(spark.createDataFrame([(f"key-{i:03d}", f"v{i}") for i in range(100)], "key string, value string"))
+    router.split("s0", "key-050")
+    assert rows(router.status(), "shard", "n_keys") == [("s0", 50), ("s1", 50)]
+    router.put("key-049x", "new")
+    router.delete("key-050")
+    again = Router(store)
+    assert (again.get("key-049x"), again.get("key-050"), again.get("key-099")) == ("new", None, "v99")
+    assert rows(again.scan("key-048", "key-052"), "key", "shard") == [("key-048", "s0"), ("key-049", "s0"), ("key-049x", "s0"), ("key-051", "s1")]
+    assert rows(again.get_all(spark.createDataFrame([("key-001",), ("nope",), ("key-001",)], "key string")), "key") == [("key-001",)]
+    while again.rebalance(30):
+        pass
+    assert again.status().agg(F.max("n_keys"), F.sum("n_keys")).first()[:] == (25, 100) or again.status().agg(F.max("n_keys")).first()[0] <= 30
+    assert rows(Router(store).scan(), "key") == rows(router.scan(), "key")
+    with pytest.raises(ValueError):
+        again.split("s0", "zzz")
+
+
+def test_buffered_writes_flush_merge_and_replay(spark, rows, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/db", trigger=3)
+    t = KeyedTable(store, "t", flush_bytes=40)
+    want = {}
+    for i in range(14):
+        batch = [(f"k{(i * 5 + j) % 17}", None if (i + j) % 6 == 5 else f"v{i}.{j}") for j in range(3)]
+        t.put_all(batch)
+        want.update(batch)
+    live = sorted((k, v) for k, v in want.items() if v is not None)
+    assert rows(t.scan()) == live and max(store.stats("t")) >= 1 and len(store.stats("t")) < 7
+    t.put("late", "1")
+    assert t.buffer and rows(KeyedTable(store, "t").scan()) == sorted([*live, ("late", "1")])  # replayed
+    t.delete("late")
+    t.close()
+    again = KeyedTable(Store(spark, f"file://{tmp_path}/db"), "t")
+    assert not again.buffer and again.get("late") is None and rows(again.scan()) == live and again.get(live[0][0]) == live[0][1]
+
+
+def test_writers_that_start_from_one_version(spark, rows, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/db")
+    df = spark.createDataFrame([(1, "a")], "k long, v string")
+    store.write("t", df)
+    store.append("t", df, after=1)
+    with pytest.raises(Conflict):
+        store.append("t", df, after=1)
+    folder = store._folder("t")
+    folder.create("commit-00000003.json", '{"versi')  # a writer that died: the version before holds, its number isn't used again
+    assert store.version("t") == 2 and store.append("t", df) == 4 and len(rows(store.read("t"))) == 3
+    with pytest.raises(Conflict):
+        folder.create("commit-00000004.json", "{}")
+
+
+def test_log_is_cut_and_recovered(spark, rows, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/db")
+    put = lambda k, v: f'{{"kind":"set","key":"{k}","value":"{v}"}}'
+    log = replication.ReplicatedLog(store)
+    assert log.propose([put("a", 1), put("b", 2), '{"kind":"delete","key":"a"}', "{torn"], 1) == 4
+    assert log.apply(2) == 2 and rows(log.live(), "key", "value") == [("a", "1"), ("b", "2")]
+    assert log.truncate() == 2 and rows(log.entries(), "index") == [(3,), (4,)]
+    again = replication.ReplicatedLog(Store(spark, f"file://{tmp_path}/db"))
+    assert again.propose([put("c", 3)], 1) == 5 and again.apply(5) == 5 and again.apply(3) == 5
+    assert rows(again.live(), "key", "value") == [("b", "2"), ("c", "3")]
+    assert again.truncate() == 5 and again.entries().isEmpty() and again.last_index() == 5
+    newer = spark.createDataFrame([(6, 2, put("d", 4)), (7, 2, put("e", 5))], replication.ReplicatedLog.LOG)
+    assert again.follow(newer, 5, 1) and not again.follow(newer, 9, 2) and again.apply(7) == 7
+    assert rows(again.live(), "key") == [("b",), ("c",), ("d",), ("e",)]
