@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is coded as the sum of one codeword from each of several codebooks of the full dimension. Codebooks start as
-k-means of residuals and are refitted jointly by least squares; codes are found by beam search, which needs products of
-the vector with codewords and of codewords with each other only. The index holds each row's codes and the ratio of its
-norm to its reconstruction's. A query's products with all codewords make lookup tables; sums of table entries times the
-stored ratio rank the rows, and the exact products of the best ones decide.
+k-means of residuals and are refitted in turn by least squares, each to what the others leave; codes are found by a beam
+search that carries the residuals. The index holds each row's codes and the ratio of its norm to its reconstruction's.
+A query's products with all codewords make lookup tables; sums of table entries times the stored ratio rank all rows,
+block by block and then together, and the exact products of the SHORTLIST best over the whole table decide.
 """
 
 from __future__ import annotations
@@ -13,18 +13,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.shared import small, store
-from keystrata.llm.vectors import FOUND, Best, best_of, dense, query_blocks, usable
+from keystrata.llm.vectors import ROWS, best_of, dense, matrix, meet, usable
 
 #: The codebooks are fitted on at most this many rows, those with the smallest hash of their id; all rows are indexed.
 FIT_ROWS = 8192
-CODEBOOKS, WORDS, BEAM = 12, 256, 4
-#: Distinct vectors of a batch (at most BATCH_ROWS rows) that are compared exactly for each query.
+CODEBOOKS, WORDS, BEAM = 24, 256, 4
+#: Distinct vectors of the whole table that are compared exactly for each query.
 SHORTLIST = 160
+#: Bytes of query vectors that may be broadcast; above, they are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Queries whose table sums are made at once.
+GROUP = 256
 
 
 class AdditiveQuantiser:
@@ -33,7 +36,6 @@ class AdditiveQuantiser:
     def __init__(self, codebooks: np.ndarray):
         self.books = codebooks.astype(np.float32)
         self.squares = (self.books**2).sum(2)
-        self.cross = np.einsum("akd,bld->abkl", self.books, self.books)
 
     @classmethod
     def fit(cls, x: np.ndarray, codebooks: int = CODEBOOKS, words: int = WORDS, rounds: int = 2, seed: int = 5) -> AdditiveQuantiser:
@@ -42,26 +44,20 @@ class AdditiveQuantiser:
         rest = x.copy()
         for m in range(codebooks):
             c = rest[rng.choice(len(rest), words, replace=len(rest) < words)]
-            for _ in range(8):
-                near = (2 * rest @ c.T - (c**2).sum(1)).argmax(1)
-                sums = np.zeros_like(c)
-                np.add.at(sums, near, rest)
-                n = np.bincount(near, minlength=words)[:, None]
-                c = np.where(n > 0, sums / np.maximum(n, 1), c)
+            for _ in range(6):
+                c = _means(rest, _nearest(rest, c), c)
             books[m] = c
-            rest -= c[(2 * rest @ c.T - (c**2).sum(1)).argmax(1)]
+            rest -= c[_nearest(rest, c)]
+        made = cls(books)
         for _ in range(rounds):
-            codes = cls(books).encode(x)
-            slots = codes + np.arange(codebooks) * words
-            start = books.reshape(-1, x.shape[1]).astype(np.float64)
-            # A ridge towards the present words: words that no row uses stay.
-            gram, sums = np.eye(len(start)), start.copy()
-            for a in range(codebooks):
-                np.add.at(sums, slots[:, a], x)
-                for b in range(codebooks):
-                    np.add.at(gram, (slots[:, a], slots[:, b]), 1)
-            books = np.linalg.solve(gram, sums).reshape(books.shape).astype(np.float32)
-        return cls(books)
+            codes = made.encode(x)
+            rest = x - made.decode(codes)
+            for m in range(codebooks):
+                own = rest + made.books[m][codes[:, m]]
+                made.books[m] = _means(own, codes[:, m], made.books[m])
+                rest = own - made.books[m][codes[:, m]]
+            made = cls(made.books)
+        return made
 
     def encode(self, x: np.ndarray, beam: int = BEAM, rows: int = 1024) -> np.ndarray:
         """Codes (rows, codebooks) by beam search over the codebooks."""
@@ -69,17 +65,18 @@ class AdditiveQuantiser:
 
     def _encode(self, x: np.ndarray, beam: int) -> np.ndarray:
         n, words = len(x), self.books.shape[1]
+        row, rest = np.arange(n)[:, None], x[:, None, :]
         codes, error = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1), np.float32)
         for m, book in enumerate(self.books):
-            step = error[:, :, None] + (self.squares[m] - 2 * x @ book.T)[:, None, :]
-            for j in range(m):
-                step += 2 * self.cross[j, m][codes[:, :, j]]
+            step = (self.squares[m] - 2 * (rest.reshape(-1, x.shape[1]) @ book.T)).reshape(n, -1, words) + error[:, :, None]
             flat = step.reshape(n, -1)
             keep = min(beam, flat.shape[1])
             best = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
             error = np.take_along_axis(flat, best, 1)
-            codes = np.concatenate([np.take_along_axis(codes, (best // words)[:, :, None], 1), (best % words)[:, :, None]], 2)
-        return np.take_along_axis(codes, error.argmin(1)[:, None, None], 1)[:, 0]
+            path, word = best // words, best % words
+            codes = np.concatenate([codes[row, path], word[:, :, None]], 2)
+            rest = rest[row, path] - book[word]
+        return codes[np.arange(n), error.argmin(1)]
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return self.books[np.arange(len(self.books)), codes].sum(1)
@@ -89,11 +86,25 @@ class AdditiveQuantiser:
         return np.einsum("mkd,qd->mkq", self.books, queries.astype(np.float32), optimize=True)
 
 
+def _nearest(rows: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return (2 * rows @ words.T - (words**2).sum(1)).argmax(1)
+
+
+def _means(rows: np.ndarray, word: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """The mean of each word's rows; words without rows stay."""
+    order = np.argsort(word, kind="stable")
+    cuts = np.searchsorted(word[order], np.arange(len(old) + 1))
+    count, out = np.diff(cuts), old.copy()
+    held = np.flatnonzero(count)
+    out[held] = np.add.reduceat(rows[order], cuts[held], axis=0) / count[held][:, None]
+    return out
+
+
 def build(embeddings: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[dict[int, AdditiveQuantiser], DataFrame]:
     """A quantiser for each vector length of the sample, and the stored index (vec_id, v, codes, ratio) of all rows.
 
     Rows with a null id or a vector that is null, empty, zero or has null or non-finite components take no part. Rows
-    of a length that the sample lacks have null codes and are compared exactly.
+    of a length that the sample lacks have null codes and are ranked by their exact products.
     """
     spark = embeddings.sparkSession
     rows = usable(embeddings, False)
@@ -119,71 +130,66 @@ def build(embeddings: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[dict[int, Ad
 def search(index: DataFrame, quantisers: dict[int, AdditiveQuantiser], queries: DataFrame, k: int = 20, shortlist: int = SHORTLIST) -> DataFrame:
     """query_id, rank, vec_id and score (exact inner product) of the k nearest found for each query, ties to smaller ids.
 
-    A row is its query's own if it has the same id; rows of equal vectors share one place in the shortlist, so that all
-    of them are found; vectors of other lengths than the query's are no candidates; a repeated query counts once.
+    A row is its query's own if it has the same id; of equal vectors the k + 1 smallest ids stand for all, as no others
+    can be among the k, and share one place in the shortlist; vectors of other lengths than the query's are no
+    candidates; a repeated query counts once. The shortlist is the same however the index is partitioned.
     """
     spark = index.sparkSession
-    out = None
-    for block in query_blocks(usable(queries, False)):
-        tables = {d: quantisers[d] for d, _, _ in block if d in quantisers}
-        shared = spark.sparkContext.broadcast((block, tables))
-        found = index.mapInArrow(_scorer(shared, k, shortlist), FOUND.format("double"))
-        out = found if out is None else out.union(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    return best_of(out, k, F.col("score"))
-
-
-def _scorer(shared, k: int, shortlist: int, group: int = 512):
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, quantisers = shared.value
-        of = {d: (ids, q, Best(len(ids), k, np.float64)) for d, ids, q in block}
-        lut = {d: quantisers[d].tables(of[d][1]) for d in of if d in quantisers}
-        for batch in small(batches):
-            sizes = np.diff(batch.column("v").offsets.to_numpy())
-            for d, ids, v in dense(batch):
-                if d not in of:
+    # Equal vectors: the smallest ids, cut within each task before they meet.
+    same = best_of(index.withColumn("query_id", F.xxhash64("v")).withColumn("_less", -F.col("vec_id")), k + 1, "_less")
+    distinct = same.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("codes").alias("codes"), F.first("ratio").alias("ratio"))
+    rows, _ = store(distinct.withColumn("d", F.size("v")), "distinct")
+    asked, _ = store(usable(queries, False).withColumn("d", F.size("v")), "queries")
+    shared = spark.sparkContext.broadcast(quantisers)
+    coded = rows.select("vec_id", "codes", "ratio", "d", F.when(F.col("codes").isNull(), F.col("v")).alias("v"))
+    found = meet(coded, asked, ["vec_id"], _ranker(shared, shortlist), "query_id bigint, vec_id bigint, guess float")
+    short, _ = store(best_of(found, shortlist, "guess").select("query_id", "vec_id"), "shortlist")
+
+    vectors = asked.groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("d", "v")).alias("q")).select("query_id", F.col("q.v").alias("q"))
+    bytes_ = asked.agg(F.coalesce(F.sum("d") * 8, F.lit(0))).first()[0]
+    pairs = short.join(rows.select("vec_id", "v", "ids"), "vec_id").join(F.broadcast(vectors) if bytes_ <= BROADCAST_BYTES else vectors, "query_id")
+    scored = pairs.select("query_id", "vec_id", "ids", "q", "v").mapInArrow(_exact, "query_id bigint, ids array<bigint>, vec_id bigint, score double")
+    near = best_of(scored, k + 1).drop("rank", "vec_id").withColumn("vec_id", F.explode("ids")).where("vec_id <> query_id")
+    return best_of(near, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small(batches):
+        score, sizes = np.zeros(batch.num_rows), np.diff(batch.column("v").offsets.to_numpy())
+        for d in np.unique(sizes):
+            at = np.flatnonzero(sizes == d)
+            part = pa.Table.from_batches([batch.take(pa.array(at))])
+            score[at] = np.einsum("nd,nd->n", matrix(part, "q"), matrix(part, "v"))
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("ids"), batch.column("vec_id"), pa.array(score)], names=["query_id", "ids", "vec_id", "score"])
+
+
+def _ranker(shared, shortlist: int):
+    """The shortlist best rows of a chunk for each query of a block, by table sums."""
+
+    def task(some: pa.Table, asks: pa.Table) -> pa.Table:
+        q_ids, q, ids = asks.column("vec_id").to_numpy(), matrix(asks, "v"), some.column("vec_id").to_numpy()
+        some = some.take(pa.array(order := np.argsort(ids, kind="stable")))
+        ids, quantiser = ids[order], shared.value.get(q.shape[1])
+        ratio = some.column("ratio").to_numpy()
+        codes = None if quantiser is None else np.frombuffer(b"".join(some.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+        keep, out = min(shortlist, len(ids)), []
+        for a in range(0, len(q), GROUP):
+            part = q[a : a + GROUP]
+            guess = np.empty((len(ids), len(part)), np.float32)
+            lut = None if quantiser is None else quantiser.tables(part)
+            for b in range(0, len(ids), ROWS):
+                if lut is None:
+                    guess[b : b + ROWS] = matrix(some.slice(b, ROWS), "v") @ part.T
                     continue
-                q_ids, q, best = of[d]
-                at = np.flatnonzero(sizes == d)
-                _, first, same = np.unique(np.ascontiguousarray(v + 0.0).view(f"V{8 * d}")[:, 0], return_index=True, return_inverse=True)
-                order = np.lexsort((ids, same))
-                cuts = np.searchsorted(same[order], np.arange(len(first) + 1))
-                distinct = v[first]
-                n = min(shortlist, len(first))
-                for a in range(0, len(q), group):
-                    part = q[a : a + group]
-                    if d in lut and n < len(first):
-                        codes = np.frombuffer(b"".join(batch.column("codes").take(pa.array(at[first])).to_pylist()), np.uint8).reshape(len(first), -1)
-                        guess = np.zeros((len(first), len(part)), np.float32)
-                        for m in range(codes.shape[1]):
-                            guess += lut[d][m, :, a : a + group][codes[:, m]]
-                        guess *= batch.column("ratio").to_numpy()[at[first]][:, None]
-                        short = np.argpartition(guess, len(first) - n, axis=0)[len(first) - n :].T
-                        exact = np.einsum("qd,qnd->qn", part, distinct[short])
-                    else:
-                        short = np.broadcast_to(np.arange(len(first)), (len(part), len(first)))
-                        exact = part @ distinct.T
-                    for i in range(len(part)):
-                        limit = best.limit(a + i)
-                        good = np.flatnonzero(exact[i] >= limit) if limit is not None else np.arange(exact.shape[1])
-                        if not len(good):
-                            continue
-                        scores, rows = exact[i, good], short[i, good]
-                        if len(first) < len(ids):
-                            # Of equal vectors the smallest ids can matter only; one may be the query's own.
-                            counts = np.minimum(cuts[rows + 1] - cuts[rows], k + 1)
-                            rows = np.concatenate([order[cuts[r] : cuts[r] + c] for r, c in zip(rows, counts, strict=True)])
-                            scores = np.repeat(scores, counts)
-                        else:
-                            rows = order[cuts[rows]]
-                        others = ids[rows] != q_ids[a + i]
-                        if others.any():
-                            best.add(a + i, scores[others], ids[rows[others]])
-        part = TaskContext.get().partitionId() % 64
-        for q_ids, _, b in of.values():
-            q = np.repeat(q_ids, b.filled)
-            keep = np.arange(k)[None, :] < b.filled[:, None]
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(b.ids[keep]), pa.array(b.scores[keep]), pa.array(np.full(len(q), part, np.int32))], names=["query_id", "vec_id", "score", "part"])
-
-    return apply
+                total = np.zeros((len(codes[b : b + ROWS]), len(part)), np.float32)
+                for m, words in enumerate(codes[b : b + ROWS].T):
+                    total += lut[m][words]
+                guess[b : b + ROWS] = total * ratio[b : b + ROWS, None]
+            guess = np.ascontiguousarray(guess.T)
+            # All that reach the last guess kept: ties at the edge are cut by id once all chunks' rows are together.
+            edge = np.partition(guess, len(ids) - keep, axis=1)[:, len(ids) - keep]
+            which, at = np.nonzero(guess >= edge[:, None])
+            out.append((q_ids[a : a + GROUP][which], ids[at], guess[which, at]))
+        return pa.table({n: np.concatenate(x) for n, x in zip(("query_id", "vec_id", "guess"), zip(*out, strict=True), strict=True)})
+
+    return task

@@ -8,16 +8,12 @@ coordinates to an interval; or by length, scanning down to s / |q|. What is left
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import small
-from keystrata.llm.vectors import FOUND, Best, best_of, dense, query_blocks, usable
+from keystrata.llm.vectors import ROWS, Best, best_of, dense, matrix, meet, usable
 
 #: Buckets in an octave of length; coordinates that are looked at; the local cosine from which on they are used.
 PER_OCTAVE, COORDINATES, BY_COORDINATES = 4, 3, 0.5
@@ -37,7 +33,7 @@ def _products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 class Bucketed:
-    """Vectors of one batch, sorted by length and cut into buckets of lengths within a ratio of each other."""
+    """Vectors of one slice, sorted by length and cut into buckets of lengths within a ratio of each other."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray):
         norms = np.sqrt((v.astype(np.float64) ** 2).sum(1))
@@ -101,52 +97,36 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1
 
     embeddings, queries: vec_id, embedding. A row is its query's own if it has the same id. Rows with a null id or a
     vector that is null, empty or has null or non-finite components take no part; vectors of other lengths than the
-    query's are no candidates; repeated rows are candidates each; a repeated query counts once. Queries come in blocks of bounded size,
-    each a pass over the vectors. Products must fit 64 bits; larger ones wrap.
+    query's are no candidates; repeated rows are candidates each; a repeated query counts once. Products must fit
+    64 bits; larger ones wrap. Blocks of queries meet chunks of rows, and each pair of them gives its k best a query.
     """
-    spark = embeddings.sparkSession
-    rows = quantised(embeddings, scale)
+    rows, asked = (quantised(x, scale).withColumn("d", F.size("v")) for x in (embeddings, queries))
     length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    seeds = rows.orderBy(length.desc(), "vec_id").limit(SEED_ROWS).toArrow().combine_chunks()
-    seed = {d: (i, v) for b in seeds.to_batches() for d, i, v in dense(b)}
-    out = None
-    for block in query_blocks(quantised(queries, scale)):
-        limits = {}
-        for d, q_ids, q in block:
-            if d in seed:
-                scores = _products(q, seed[d][1])
-                scores[q_ids[:, None] == seed[d][0][None, :]] = np.iinfo(np.int64).min
-                # Only a k-th score of distinct rows bounds what can still matter.
-                if scores.shape[1] > k:
-                    limits[d] = np.sort(scores, 1)[:, -k]
-        shared = spark.sparkContext.broadcast((block, limits))
-        found = rows.mapInArrow(_search(shared, k), FOUND.format("bigint"))
-        out = found if out is None else out.union(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    return best_of(out, k, F.col("score"))
-
-
-def _search(shared, k: int):
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, limits = shared.value
-        best, floor = {}, {}
-        for d, _, q in block:
-            best[d] = Best(len(q), k, np.int64)
-            floor[d] = limits.get(d)
-        of = {d: (ids, q) for d, ids, q in block}
-        for batch in small(batches):
-            for d, ids, v in dense(batch):
-                if d in of:
-                    Bucketed(ids, v).search(of[d][1], of[d][0], _Floored(best[d], floor[d]))
-        part = TaskContext.get().partitionId() % 64
-        for d, b in best.items():
-            n = b.filled
-            q = np.repeat(of[d][0], n)
-            keep = np.arange(k)[None, :] < n[:, None]
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(b.ids[keep]), pa.array(b.scores[keep]), pa.array(np.full(len(q), part, np.int32))], names=["query_id", "vec_id", "score", "part"])
-
-    return apply
+    seeds = rows.select("vec_id", "v").orderBy(length.desc(), "vec_id").limit(SEED_ROWS).toArrow().combine_chunks()
+    seed = embeddings.sparkSession.sparkContext.broadcast({d: (i, v) for b in seeds.to_batches() for d, i, v in dense(b)})
+
+    def task(some: pa.Table, asks: pa.Table) -> pa.Table:
+        q_ids, q = asks.column("vec_id").to_numpy(), matrix(asks, "v")
+        ids, v = some.column("vec_id").to_numpy(), matrix(some, "v")
+        best = Best(len(q), k, np.int64)
+        floored = _Floored(best, _floor(q_ids, q, *seed.value.get(q.shape[1], (None, None)), k))
+        order = np.argsort(-(v.astype(np.float64) ** 2).sum(1), kind="stable")
+        for a in range(0, len(order), ROWS):
+            Bucketed(ids[order[a : a + ROWS]], v[order[a : a + ROWS]]).search(q, q_ids, floored)
+        keep = np.arange(k)[None, :] < best.filled[:, None]
+        return pa.table({"query_id": np.repeat(q_ids, best.filled), "vec_id": best.ids[keep], "score": best.scores[keep]})
+
+    found = meet(rows, asked, ["vec_id", "v"], task, "query_id bigint, vec_id bigint, score bigint")
+    return best_of(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _floor(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray | None, v: np.ndarray | None, k: int) -> np.ndarray | None:
+    """Each query's k-th score among the longest vectors, which what can still matter must reach."""
+    if ids is None or len(ids) <= k:
+        return None
+    scores = _products(q, v)
+    scores[q_ids[:, None] == ids[None, :]] = np.iinfo(np.int64).min
+    return np.sort(scores, 1)[:, -k]
 
 
 class _Floored:

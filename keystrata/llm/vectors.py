@@ -1,18 +1,18 @@
-"""What the vector searches share: query blocks, dense batches, merging of best lists."""
+"""What the vector searches share: queries and rows dealt into blocks that meet, dense batches, merging of best lists."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries in a block; a block is broadcast, so this bounds what is sent, and each block is one pass over the vectors.
-BLOCK_QUERIES = 4096
-#: Vectors that are scored at once.
-ROWS = 4096
+#: Queries in a block and rows in a chunk, about: what one task holds at once. Each block meets each chunk.
+BLOCK_QUERIES, CHUNK_ROWS = 4096, 16_384
+#: Rows that are scored at once within a chunk.
+ROWS = 2048
 
 
 def usable(embeddings: DataFrame, allow_zero: bool) -> DataFrame:
@@ -34,18 +34,38 @@ def dense(batch: pa.RecordBatch, column: str = "v") -> Iterator[tuple[int, np.nd
         yield int(d), ids[of], flat[starts[of][:, None] + np.arange(d)]
 
 
-def query_blocks(queries: DataFrame, size: int = BLOCK_QUERIES) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
-    """The queries (vec_id, v) in order of id, a bounded number at a time, by vector length. Repeated rows count once."""
-    after = None
-    while True:
-        part = queries if after is None else queries.where(F.col("vec_id") > after)
-        rows = part.groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").limit(size).toArrow().combine_chunks()
-        if not rows.num_rows:
-            return
-        yield list(dense(rows.to_batches()[0]))
-        after = int(rows.column("vec_id")[-1].as_py())
-        if rows.num_rows < size:
-            return
+def meet(rows: DataFrame, queries: DataFrame, key: list[str], task: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``task`` for every block of queries and chunk of rows of one vector length.
+
+    rows: columns ``key`` tells apart and ``d``, the vector's length; queries: (vec_id, v, d). Nothing passes the driver;
+    what is shuffled is the rows once for each block and the queries once for each chunk, so both come in large pieces.
+    """
+    asked = queries.groupBy("vec_id").agg(F.min(F.struct("d", "v")).alias("q")).select("vec_id", "q.v", "q.d")
+    chunks = max(1, -(-rows.count() // CHUNK_ROWS))
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("_chunk", F.pmod(F.xxhash64(*key), F.lit(chunks)).cast("int")).withColumn("_block", all_of(blocks))
+    right = asked.withColumn("_block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("_chunk", all_of(chunks))
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def apply(some: pa.Table, asks: pa.Table) -> pa.Table:
+        if not some.num_rows or not asks.num_rows:
+            return _none(schema)
+        return task(some, asks).select(names)
+
+    return left.groupBy("d", "_chunk", "_block").cogroup(right.groupBy("d", "_chunk", "_block")).applyInArrow(apply, schema)
+
+
+def _none(schema: str) -> pa.Table:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32()}
+    return pa.table({n: pa.array([], kinds[t]) for n, t in (x.split() for x in schema.split(", "))})
+
+
+def matrix(table: pa.Table, column: str, dtype=None) -> np.ndarray:
+    """A column of lists of one length."""
+    lists = table.column(column).combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    return flat if dtype is None else flat.astype(dtype)
 
 
 class Best:
@@ -69,12 +89,7 @@ class Best:
         return self.scores[q, self.k - 1] if self.filled[q] == self.k else None
 
 
-def best_of(found: DataFrame, k: int, score: Column) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of each query. A first cut by parts keeps any one task's share small."""
-    order = [F.col("score").desc(), F.col("vec_id")]
-    for keys in (["query_id", "part"], ["query_id"]):
-        found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
-
-
-FOUND = "query_id bigint, vec_id bigint, score {}, part int"
+def best_of(found: DataFrame, k: int, score: str = "score", tie: str = "vec_id") -> DataFrame:
+    """found with rank, only the k best of each query. Each task's rows are cut to k a query before they are dealt out."""
+    order = [F.col(score).desc(), F.col(tie)]
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)

@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -40,7 +41,8 @@ def floor(v):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_top_k_equals_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(topk, "SEED_ROWS", 40)
-    monkeypatch.setattr(vectors.query_blocks, "__defaults__", (7,))
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(vectors, "CHUNK_ROWS", 50)
     rows = data(seed, 240) + BAD
     t = table(spark, rows).repartition(5)
     got = {}
@@ -74,14 +76,17 @@ def test_by_coordinates_loses_nothing():
         assert [(-a, b) for a, b in zip(best.scores[q], best.ids[q], strict=True)] == want
 
 
-def test_ann_recall_scores_and_ties(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SHORTLIST", 40)
+@pytest.mark.parametrize(("partitions", "chunk", "block"), [(3, 16_384, 4096), (16, 100, 7)])
+def test_ann_recall_scores_and_ties(spark, monkeypatch, partitions, chunk, block):
+    """The same neighbours however rows are partitioned, dealt into chunks or queries into blocks."""
+    monkeypatch.setattr(vectors, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", block)
     r = np.random.default_rng(3)
     centres = r.normal(size=(30, 16))
     v = (centres[r.integers(0, 30, 900)] + 0.4 * r.normal(size=(900, 16))).astype(np.float32)
     v[600:] = v[0]
     rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)] + BAD + [(9100, [0.0] * 16)]
-    t = table(spark, rows).repartition(3)
+    t = table(spark, rows).repartition(partitions)
     quantisers, index = ann.build(t, fit_rows=400)
     assert index.where("codes IS NOT NULL OR size(v) < 16").count() == index.count() == 900 + 2
     got = {}
@@ -97,6 +102,26 @@ def test_ann_recall_scores_and_ties(spark, monkeypatch):
         for i, s in found:
             assert abs(s - float(np.float32(measured[q]).astype(float) @ np.float32(measured[i]).astype(float))) < 1e-9
     assert [i for i, _ in got[0]] == [i for i, _ in want[0]]  # equal vectors: the smallest ids
+    FOUND.setdefault("ann", got)
+    assert FOUND["ann"] == got
+
+
+FOUND: dict = {}
+
+
+def test_recall_on_the_table(spark):
+    """All vectors of a table against brute force; the shortlist ranks the whole table, not parts of it."""
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    t = spark.read.parquet(path)
+    quantisers, index = ann.build(t)
+    both = t.toArrow()
+    ids, v = both.column("vec_id").to_numpy(), np.array(both.column("embedding").to_pylist(), float)
+    for shortlist, least in ((160, 0.95), (40, 0.9)):
+        got = {(x.query_id, x.vec_id) for x in ann.search(index, quantisers, t.where("vec_id % 20 = 0"), shortlist=shortlist).collect()}
+        want = {(int(ids[i]), int(j)) for i in np.flatnonzero(ids % 20 == 0) for j in ids[np.argsort(np.where(ids == ids[i], np.inf, -(v @ v[i])), kind="stable")[:20]]}
+        assert len(got) == len(want) and len(got & want) >= least * len(want)
 
 
 def test_ann_of_nothing(spark):
