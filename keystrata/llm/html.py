@@ -1,10 +1,11 @@
 """Main-text extraction by minimum cut.
 
-A page's text blocks are the nodes of a graph. A linear classifier over each block's place, words and links gives its
-log-odds of being content, which become capacities to the two terminals; blocks next to each other, and blocks with the
-same parent element, are joined by smoothness edges that weigh more the nearer they are in the tree. The minimum cut is
-the cheapest labelling. Blocks whose own evidence outweighs all their edges are settled first, which changes nothing in
-the result; a maximum flow labels the rest.
+A page's text blocks are the nodes of a graph. A logistic classifier over each block's elements, class words, text and
+links gives its log-odds of being content, bounded, which become capacities to the two terminals; blocks next to each
+other, and blocks with the same parent element, are joined by smoothness edges that weigh more the nearer they are in
+the tree. The minimum cut is the cheapest labelling. Blocks whose own evidence outweighs all their edges are settled
+first, which changes nothing in the result; a maximum flow labels the rest. ``html_model`` fits the classifier and the
+edges' strength.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from collections import deque
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.llm.html_model import BOUND, fitted
 from keystrata.llm.shared import small
 
 # What HTML itself says of its elements.
@@ -27,60 +30,60 @@ BLOCK = frozenset("address article aside blockquote body button caption center d
 #: Elements that one of the same group closes, and where that search ends.
 CLOSES = {"li": ("li", {"ul", "ol", "menu", "dir"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"table", "tr"}), "th": ("td th", {"table", "tr"}), "option": ("option", {"select"})}
 
-#: Elements and roles whose text is not an article's.
+# Features, whose weights are fitted: elements, roles and words of class and id attributes that may tell of either kind.
 BAD_TAGS = frozenset("nav footer aside form menu button dialog search fieldset label".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words of class and id attributes that tell of either kind.
 BAD_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner banners nav navbar navigation menu menus topbar breadcrumb breadcrumbs sidebar sidebars aside rail widget widgets footer foot footnav header masthead cookie cookies consent gdpr notice notices notification alert alerts warning disclaimer popup modal overlay newsletter subscribe subscription signup login signin register comment comments commentlist respond reply replies disqus discussion feedback share sharing social follow related recommended recommendations trending popular tags tagcloud pagination pager copyright legal search toolbar paywall teaser outbrain taboola".split()
+    (
+        "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner banners "
+        "nav navbar navigation menu menus topbar breadcrumb breadcrumbs sidebar sidebars aside rail widget widgets footer foot footnav header masthead cookie "
+        "cookies consent gdpr notice notices notification alert alerts warning disclaimer popup modal overlay newsletter subscribe subscription signup login "
+        "signin register comment comments commentlist respond reply replies disqus discussion feedback share sharing social follow related recommended "
+        "recommendations trending popular tags tagcloud pagination pager copyright legal search toolbar paywall teaser outbrain taboola"
+    ).split()
 )
 GOOD_WORDS = frozenset("article content main post entry story body text maincontent articlebody postcontent".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SENTENCE = re.compile(r"[.!?…。]['\")\]»”]*(?:\s|$)")
 
 
 class Element:
-    __slots__ = ("bad", "depth", "good", "name", "parent", "top")
+    """An element with what it and those around it tell: how many are ``bad`` by tag, role or word, or ``good``."""
+
+    __slots__ = ("article", "bad_role", "bad_tag", "bad_word", "block", "depth", "good_tag", "good_word", "mixed", "name", "parent")
 
     def __init__(self, name: str, parent: Element | None, attributes: str):
         self.name, self.parent, self.depth = name, parent, parent.depth + 1 if parent else 0
-        self.bad, self.good = parent.bad if parent else 0, parent.good if parent else 0
+        self.block = self if name in BLOCK or parent is None else parent.block
+        for flag in ("article", "bad_role", "bad_tag", "bad_word", "good_tag", "good_word", "mixed"):
+            setattr(self, flag, getattr(parent, flag) if parent else False)
         words: set[str] = set()
-        hidden = bad_role = False
-        if attributes:
-            for m in _ATTR.finditer(attributes):
-                key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if key in ("class", "id"):
-                    words.update(w.lower() for w in _WORDS.findall(value))
-                elif key == "role":
-                    bad_role |= value.lower() in BAD_ROLES
-                elif key == "hidden":
-                    hidden |= attributes[m.start() - 1 : m.start()].isspace() and value.lower() != "false"
-                elif key == "aria-hidden":
-                    hidden |= value.lower() == "true"
-                else:
-                    hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE))
-        whole = name in ("html", "body")
-        good, bad = bool(words & GOOD_WORDS) or name in ("article", "main"), bool(words & BAD_WORDS)
-        if name in BAD_TAGS or bad_role or hidden or name == "header" and not self._within("article"):
-            self.bad += 2
-        elif bad and not whole and name not in ("article", "main"):
-            self.bad += 1 if good or name[0] == "h" and name[1:].isdigit() else 2
-        elif name == "header":
-            self.bad += 1
-        if good and not whole:
-            self.good += 2 if name in ("article", "main") else 1
-
-    def _within(self, name: str) -> bool:
-        e = self.parent
-        while e is not None:
-            if e.name == name:
-                return True
-            e = e.parent
-        return False
+        for m in _ATTR.finditer(attributes):
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key in ("class", "id"):
+                words.update(w.lower() for w in _WORDS.findall(value))
+            elif key == "role":
+                self.bad_role |= value.lower() in BAD_ROLES
+            elif key == "hidden":
+                self.bad_role |= attributes[m.start() - 1 : m.start()].isspace() and value.lower() != "false"
+            elif key == "aria-hidden":
+                self.bad_role |= value.lower() == "true"
+            else:
+                self.bad_role |= bool(_HIDDEN.search(value))
+        if name in ("html", "body"):
+            return
+        tag, good, bad = name in ("article", "main"), bool(words & GOOD_WORDS), bool(words & BAD_WORDS)
+        self.bad_tag |= name in BAD_TAGS or name == "header" and not self.article
+        self.mixed |= bad and (good or tag or name in HEADINGS) or name == "header" and self.article
+        self.bad_word |= bad and not (good or tag or name in HEADINGS)
+        self.good_tag |= tag
+        self.good_word |= good
+        self.article |= name == "article"
 
 
 class Block:
@@ -96,30 +99,46 @@ def blocks(html: str) -> list[Block]:
     at = root = Element("#root", None, "")
     parts: list[str] = []
     linked = links = 0
+    # Depths of the open elements of each name, and of all open blocks: whether and where a tag closes needs no walk.
+    open_: dict[str, list[int]] = {}
+    block_depths: list[int] = []
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                holder = at
-                while holder.name not in BLOCK and holder.parent is not None:
-                    holder = holder.parent
-                out.append(Block(holder, text, linked))
+                out.append(Block(at.block, text, linked))
             parts.clear()
         linked = 0
 
-    def close(names, limits=()) -> None:
+    def push(element: Element) -> None:
+        nonlocal at
+        at = element
+        open_.setdefault(element.name, []).append(element.depth)
+        if element.name in BLOCK:
+            block_depths.append(element.depth)
+
+    def pop_to(depth: int) -> None:
+        """Closes the element of this depth with all inside it."""
         nonlocal at, links
-        e = at
-        while e is not root and e.name not in limits:
-            if e.name in names:
-                flush()
-                while at is not e.parent:
-                    links -= at.name == "a"
-                    at = at.parent
-                return
-            e = e.parent
+        while at.depth >= depth:
+            links -= at.name == "a"
+            open_[at.name].pop()
+            if at.name in BLOCK:
+                block_depths.pop()
+            at = at.parent
+
+    def deepest(names) -> int:
+        return max((open_[n][-1] for n in names if open_.get(n)), default=0)
+
+    def close(names, limits=()) -> None:
+        """Closes the innermost element of these names unless one of the limits is inside it or is it."""
+        found = deepest(names)
+        if found and found > deepest(limits):
+            flush()
+            pop_to(found)
 
     pos, end = 0, len(html)
     while pos < end:
@@ -160,20 +179,16 @@ def blocks(html: str) -> list[Block]:
                 flush()
                 close((name,), () if name in ("body", "html", "article", "main") else ("article", "main") if name not in ("div", "section", "p") else ())
             else:
-                e = at
-                while e is not root and e.name not in BLOCK:
-                    if e.name == name:
-                        while at is not e.parent:
-                            links -= at.name == "a"
-                            at = at.parent
-                        break
-                    e = e.parent
+                found = deepest((name,))
+                if found > (block_depths[-1] if block_depths else 0):
+                    pop_to(found)
             continue
         if name in RAW:
             if m[3].endswith("/") and name in ("svg", "math", "object"):
                 continue
-            found = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.IGNORECASE).search(html, pos)
+            found = None if name in unclosed else re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.IGNORECASE).search(html, pos)
             if found is None:
+                unclosed.add(name)
                 pos = end if name in ("script", "style") else pos
             else:
                 gt = html.find(">", found.end())
@@ -197,34 +212,30 @@ def blocks(html: str) -> list[Block]:
                 close(("p",), ("table",))
         if name == "body" or name == "html":
             flush()
-        at = Element(name, at, m[3])
+        push(Element(name, at, m[3]))
         links += name == "a"
     flush()
     return out
 
 
-def log_odds(block: Block, any_good: bool) -> float:
-    """The classifier: evidence for content (positive) or boilerplate (negative) from one block alone."""
-    e, n = block.element, len(block.text)
-    density = min(1.0, block.linked / n)
-    score = -0.6 - 2.5 * density + min(n, 400) / 160
-    if e.name in ("p", "pre", "blockquote"):
-        score += 1.0
-    elif e.name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        score += 1.6
-    elif e.name == "li" and density > 0.6:
-        score -= 1.5
-    if _SENTENCE.search(block.text):
-        score += 0.8
-    if e.good:
-        score += 3.0
-    elif any_good:
-        score -= 4.0
-    if e.bad >= 2:
-        score -= 40.0
-    elif e.bad == 1 and e.name != "h1":
-        score -= 4.0
-    return score
+def features(found: list[Block]) -> np.ndarray:
+    """A row for each block of a page; the last column is one."""
+    whole = any((b.element.good_tag or b.element.good_word) and not (b.element.bad_tag or b.element.bad_word or b.element.bad_role) and len(b.text) > 80 for b in found)
+    out = np.empty((len(found), 21))
+    for i, b in enumerate(found):
+        e, n = b.element, len(b.text)
+        good = e.good_tag or e.good_word
+        out[i] = (
+            min(n, 800) ** 0.5 / 10, n < 25, min(1.0, b.linked / n), b.linked > 0.6 * n, bool(_SENTENCE.search(b.text)), min(5, b.text.count(",")) / 5, b.text.startswith(("\xa9", "(c)")),
+            e.name == "p", e.name in ("pre", "blockquote"), e.name in HEADINGS, e.name in ("li", "dt", "dd"), e.name in ("td", "th", "caption"),
+            e.good_tag, e.good_word, e.bad_tag, e.bad_role, e.bad_word, e.mixed, whole and not good, e.bad_word and e.good_tag, 1.0,
+        )
+    return out
+
+
+def evidence(found: list[Block], weights: np.ndarray) -> np.ndarray:
+    """The classifier: each block's log-odds of being content by itself, bounded."""
+    return np.clip(features(found) @ weights, -BOUND, BOUND)
 
 
 def distance(a: Element, b: Element) -> int:
@@ -239,19 +250,24 @@ def distance(a: Element, b: Element) -> int:
     return steps
 
 
-def edges(found: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness: each block with the next, and with the next of the same parent element."""
+def edges(found: list[Block], strength: float) -> list[tuple[int, int, float]]:
+    """Smoothness: each block with the next by their distance in the tree, and with the next of the same parent element."""
     out, last = [], {}
     for i, b in enumerate(found):
         if i:
-            out.append((i - 1, i, 0.8 / (1 + distance(found[i - 1].element, b.element))))
+            out.append((i - 1, i, strength / (1 + distance(found[i - 1].element, b.element))))
         parent = id(b.element.parent)
         if parent in last:
-            out.append((last[parent], i, 0.4))
+            out.append((last[parent], i, strength / 2))
         last[parent] = i
     return out
 
 
+def labels(found: list[Block], weights: np.ndarray, strength: float) -> list[bool]:
+    """Which blocks are content, by the minimum cut."""
+    return min_cut(evidence(found, weights).tolist(), edges(found, strength)) if found else []
+
+
 def min_cut(unary: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
     """The labelling (true: content) that pays least: -u for a false label of u > 0, u for one of u < 0, w for each cut edge."""
     n, u = len(unary), list(unary)
@@ -343,12 +359,11 @@ def _max_flow(u: list[float], left: list[int], near: list[dict[int, float]], lab
                 x = head[path.pop() ^ 1]
 
 
-def extract(html: str) -> str:
+def extract(html: str, model: tuple[np.ndarray, float] | None = None) -> str:
     """The main text: its blocks in page order, joined by an empty line."""
+    weights, strength = model or fitted()
     found = blocks(html)
-    any_good = any(b.element.good >= 1 and b.element.bad < 2 and len(b.text) > 80 for b in found)
-    keep = min_cut([log_odds(b, any_good) for b in found], edges(found))
-    return "\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    return "\n\n".join(b.text for b, k in zip(found, labels(found, weights, strength), strict=True) if k)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -357,9 +372,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     Every row gives one row, repeated and null ids included; other columns play no part.
     """
 
+    model = fitted()
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            texts = [extract(h) if h else "" for h in batch.column("html").to_pylist()]
+            texts = [extract(h, model) if h else "" for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

@@ -1,8 +1,12 @@
+import os
 import random
+import time
+from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 
-from keystrata.llm import chat, html
+from keystrata.llm import chat, html, html_model, queries
 
 TURNS = "conv_id long, turn long, role string, text string, spans string"
 NASTY = ["", "###", "####", "\\", "\\h", "\\\\t", "</turn>", "###</turn>\\", "\n### user: x</turn>\n", "### Assistant: </turn> ok", "a\nb", "é\U0001f600", "</turn", "#", "##"]
@@ -65,6 +69,70 @@ def test_broken_pages():
     html.extract("<a href='" * 3000)
 
 
+class Article(HTMLParser):
+    """A plain version for pages whose article element holds the text: its blocks, parsed by the standard library."""
+
+    def __init__(self, page: str):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.parts, self.blocks = False, [], []
+        self.feed(page)
+        self.close()
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.parts).split())
+        self.parts = []
+        self.blocks += [text] if text and self.inside else []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag in html.BLOCK:
+            self.flush()
+        self.inside |= tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in html.BLOCK:
+            self.flush()
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        self.parts.append(data)
+
+
+def test_query_equals_a_plain_version(spark):
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in queries.op9_html_extraction(spark, sf).collect()}
+    want = {r.page_id: (r.url, text := "\n\n".join(Article(r.html).blocks), len(text)) for r in pages}
+    assert len(got) == len(pages) and got == want
+
+
+def test_the_cut_mends_labels():
+    """On made-up pages that weren't fitted on, the cut changes labels, and for the better."""
+    weights, strength = html_model.fitted()
+    alone, cut, changed = 0, 0, 0
+    for found, truth in html_model.labelled(range(9000, 9300)):
+        one, other = html.evidence(found, weights) > 0, np.array(html.labels(found, weights, strength))
+        alone, cut, changed = alone + (one != truth).sum(), cut + (other != truth).sum(), changed + (one != other).sum()
+    assert changed > 10 and cut < alone and cut < 0.04 * 300 * 24
+
+
+@pytest.mark.parametrize("page", ["<b>{n}</i>{n}", "<header>x{n}", "<i><div><b>{n}</i>{n}", "<textarea>{n}", "<li>ab{n}", "<div>ab. cd<p>x<a href=1>y</a>{n}", "<table><tr><td>a{n}", "<p>a</article>{n}"])
+def test_long_awkward_pages_take_time_in_proportion(page):
+    def made(n: int) -> str:
+        return "".join(part * n for part in page.split("{n}"))
+
+    model = html_model.fitted()
+    took = []
+    for n in (4000, 16_000):
+        began = time.process_time()
+        html.extract(made(n), model)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * max(took[0], 0.05)
+
+
 def test_min_cut_is_minimal():
     def cost(labels, u, edges):
         return sum(abs(x) for x, l in zip(u, labels, strict=True) if (x > 0) != l and x) + sum(w for a, b, w in edges if labels[a] != labels[b])
