@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -80,3 +81,57 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> int:
         else:
             rooms.append(capacity - n)
     return len(rooms)
+
+
+PROSE = " it was a long and quiet morning and the people of the town walked slowly along the river before they went to work in the fields and shops beyond the old bridge "
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
+L, U, D = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = [D + L[:6], D + U[:6], L, U, U + "234567", D + L, D + U, U + L, U + L + D, U + L + D + "+/", U + L + D + "-_", U + L + D + "+/-_"]
+
+
+def randomness(token: str) -> float:
+    """-ln of the combined p-value of the battery."""
+    alphabet = next(a for a in ALPHABETS if set(token) <= set(a))
+    n, k, x = len(token), len(alphabet), [alphabet.index(c) for c in token]
+    chi = sum(token.count(c) ** 2 for c in alphabet) * k / n - n
+    tail = lambda z: max(math.erfc(z / 2**0.5) / 2, 1e-300)
+    turns = sum((2 * a >= k) != (2 * b >= k) for a, b in zip(x, x[1:], strict=False))
+    serial = sum((a - (k - 1) / 2) * (b - (k - 1) / 2) for a, b in zip(x, x[1:], strict=False)) / ((k * k - 1) / 12)
+    h = -math.log(tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)))
+    h -= math.log(min(1, 2 * tail(abs(turns - (n - 1) / 2) / math.sqrt((n - 1) / 4)))) + math.log(min(1, 2 * tail(abs(serial) / math.sqrt(n - 1))))
+    return h - math.log(1 + h + h * h / 2)
+
+
+def decoys(token: str, text: str, n: int) -> list[str]:
+    prose = re.sub(TOKEN.pattern + "|[^A-Za-z]+", " ", text).lower() + PROSE
+    digits, out = re.sub("[^0-9]", "", token), []
+    m = len(token) - len(digits)
+    for r in range(1, n + 1):
+        at = zlib.crc32(f"{token}:{r}".encode()) % len(prose)
+        words = (prose[at:] + prose * (2 * m // len(prose) + 2))[: 2 * m]
+        low, up = re.search("[a-z]", token), re.search("[A-Z]", token)
+        words = " ".join(w[:1].upper() + w[1:] for w in words.split(" ")) if low and up else words.upper() if up else words
+        words = words.replace(" ", "_" if r % 2 else "-") if re.search("[^0-9A-Za-z]", token) else words.replace(" ", "")
+        w = words[:m].ljust(m, "e")
+        out.append(w + digits if r % 3 == 0 else w[: m // 2] + digits + w[m // 2 :])
+    return out
+
+
+def random_spans(texts: dict[int, str], q: float, n: int) -> dict[int, list[tuple[int, int]]]:
+    """The tokens beside base spans that Benjamini and Hochberg's rule picks in their class, by p-values from decoys."""
+    tests, pool = collections.defaultdict(list), collections.defaultdict(list)
+    bin_ = lambda t: min(400, math.floor(max(0, randomness(t)) * 8))
+    for i, text in texts.items():
+        base = base_spans(text)
+        for m in TOKEN.finditer(text):
+            if re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base):
+                kind = (len(m[0]).bit_length(), *(bool(re.search(x, m[0])) for x in ("[0-9]", "[a-z]", "[A-Z]", "[^0-9A-Za-z]")))
+                tests[kind].append((bin_(m[0]), i, m.start(), m.end()))
+                pool[kind] += [bin_(d) for d in decoys(m[0], text, n)]
+    out = collections.defaultdict(list)
+    for kind, found in tests.items():
+        p = sorted(((1 + sum(d <= t[0] for d in pool[kind])) / (1 + len(pool[kind])), t) for t in found)
+        last = max((k for k in range(len(p)) if p[k][0] <= q * (k + 1) / len(p)), default=-1)
+        for _, (_, i, a, b) in p[: last + 1]:
+            out[i].append((a, b))
+    return {i: sorted(x) for i, x in out.items()}
