@@ -174,7 +174,7 @@ class Router:
 
     def get_all(self, keys: DataFrame) -> DataFrame:
         """(key, value) of those of a DataFrame's keys that are there."""
-        return self.scan().join(keys.select("key").distinct(), "key", "left_semi")
+        return self.scan().join(keys.select("key").distinct(), "key", "left_semi").select("key", "value")
 
     def scan(self, start: str = "", end: str = "") -> DataFrame:
         """(key, value, shard) of the live keys in [start, end), an empty end being open; only shards that it meets are read."""
