@@ -1,7 +1,7 @@
 """Document quality by co-training of two views.
 
-One classifier sees the text's content (characters and words), the other the page's metadata (language, source, size and
-layout: lines and their lengths). Over some rounds each labels the unlabelled rows it is sure of for the other to learn
+One classifier sees the text's content (characters, words and lines), the other the page's metadata alone (language,
+source and recorded size). Over some rounds each labels the unlabelled rows it is sure of for the other to learn
 from. The unlabelled rows stay where they are: every round scores all of them, and the tasks return sums only (counts by
 confidence, gradients and Hessians). Each view is then calibrated on labelled rows that neither learned from, and a logistic combination of the two
 calibrated log-odds, fitted on the same rows, scores every document.
@@ -26,7 +26,7 @@ MAX_LABELLED = 8000
 SHARE = 1 / 16
 #: Confidence is counted in steps of 1/16 of log-odds, which end at 30.
 STEPS, CONFIDENCES = 16, 481
-#: Slots for hashed languages and sources.
+#: Slots for hashed languages, sources and powers of two of the size.
 SLOTS = 64
 KEEP_AT = 0.5
 
@@ -34,11 +34,11 @@ _CLASS = np.zeros(256, np.uint8)  # 0 other letters (non-ASCII), then:
 for _k, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".,;:'\"-()", "!?"), 1):
     _CLASS[[ord(c) for c in _chars]] = _k
 _CLASS[[c for c in range(128) if not _CLASS[c]]] = 8  # other signs
-N_CONTENT, N_LAYOUT = 16, 6
+N_CONTENT, N_META = 21, 2
 
 
 def content_features(texts: list[bytes]) -> np.ndarray:
-    """Shares of character classes and signs, and how often words repeat."""
+    """Shares of character classes and signs, how often words repeat, and how lines run."""
     out = np.zeros((len(texts), N_CONTENT))
     for begin, end in chunks(texts):
         part = texts[begin:end]
@@ -55,21 +55,22 @@ def content_features(texts: list[bytes]) -> np.ndarray:
             twice = np.count_nonzero(words[1:] == words[:-1])
             thrice = np.count_nonzero(words[2:] == words[:-2])
             runs = np.diff(np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1], [True]]))) if len(some) else np.zeros(1)
+            lines = counts[5] + 1
+            longest = int(np.diff(np.flatnonzero(np.concatenate([[True], data == 10, [True]]))).max())
             out[begin + i] = [counts[2] / letters, counts[3] / n, counts[6] / k, counts[7] / k, counts[8] / k, signs.max() / k, (signs > 0).sum() / 10, (len(data) - counts[4] - counts[5]) / k / 10,
-                              twice / k, thrice / k, len(runs) / k**0.9, runs.max() / k, np.log1p(k) / 10, min(1, twice), min(1.0, counts[7] / k * 4), min(1.0, counts[8] / k * 4)]
+                              twice / k, thrice / k, len(runs) / k**0.9, runs.max() / k, np.log1p(k) / 10, min(1, twice), min(1.0, counts[7] / k * 4), min(1.0, counts[8] / k * 4),
+                              np.log1p(lines) / 5, np.log1p(len(data) / lines) / 10, np.log1p(longest) / 10, lines == 1, text.count(b"\n\n") / lines]
     return out
 
 
-def metadata_features(langs: list, sources: list, sizes: list, texts: list[bytes]) -> np.ndarray:
-    """Hashed language and source, size, and layout. A null size is that of the text."""
-    out = np.zeros((len(texts), N_LAYOUT + SLOTS))
-    for i, (lang, source, size, text) in enumerate(zip(langs, sources, sizes, texts, strict=True)):
-        lines = text.count(b"\n") + 1
-        longest = max(map(len, text.split(b"\n")))
-        size = len(text) if size is None else max(0, size)
-        out[i, :N_LAYOUT] = [np.log1p(size) / 10, np.log1p(lines) / 5, np.log1p(len(text) / lines) / 10, np.log1p(longest) / 10, lines == 1, text.count(b"\n\n") / lines]
-        for name, value in (("lang", lang), ("source", source)):
-            out[i, N_LAYOUT + zlib.crc32(f"{name}={value}".encode()) % SLOTS] = 1
+def metadata_features(langs: list, sources: list, sizes: list) -> np.ndarray:
+    """Recorded size, whether there is one, and hashed language, source and power of two of the size; no text is looked at."""
+    out = np.zeros((len(langs), N_META + SLOTS))
+    for i, (lang, source, size) in enumerate(zip(langs, sources, sizes, strict=True)):
+        size = None if size is None else max(0, size)
+        out[i, :N_META] = [0 if size is None else np.log1p(size) / 10, size is None]
+        for name, value in (("lang", lang), ("source", source), ("size", None if size is None else size.bit_length())):
+            out[i, N_META + zlib.crc32(f"{name}={value}".encode()) % SLOTS] = 1
     return out
 
 
@@ -285,18 +286,18 @@ class CoTrained:
 
 def _views(batch: pa.RecordBatch) -> list[np.ndarray]:
     texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-    return [content_features(texts), metadata_features(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")), texts)]
+    return [content_features(texts), metadata_features(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))]
 
 
 def _packed(views: list[np.ndarray]) -> list[bytes]:
     """Each row's features; those of the slots are bits."""
-    numbers = np.concatenate([views[0], views[1][:, :N_LAYOUT]], 1).astype("<f8")
-    slots = np.packbits(views[1][:, N_LAYOUT:] > 0, axis=1)
+    numbers = np.concatenate([views[0], views[1][:, :N_META]], 1).astype("<f8")
+    slots = np.packbits(views[1][:, N_META:] > 0, axis=1)
     return [a.tobytes() + b.tobytes() for a, b in zip(numbers, slots, strict=True)]
 
 
 def _unpacked(column: pa.Array) -> list[np.ndarray]:
-    k = 8 * (N_CONTENT + N_LAYOUT)
+    k = 8 * (N_CONTENT + N_META)
     data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, k + SLOTS // 8)
     numbers = np.ascontiguousarray(data[:, :k]).view("<f8")
     return [numbers[:, :N_CONTENT], np.concatenate([numbers[:, N_CONTENT:], np.unpackbits(data[:, k:], axis=1)], 1)]
@@ -317,7 +318,7 @@ def quality(documents: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, m
     """doc_id, held_out, content_score, metadata_score, score (0 to 1, higher: label 1 likelier) and keep of every document.
 
     labels: (doc_id, quality); those of ids with crc32(id as text) mod 4 = 2 are held out and never seen. Rows of labels
-    with nulls are left out, of several labels of an id the largest holds. Every row of documents gives one row; null
+    with nulls are left out, of several labels of an id the largest holds, and of several rows of a labelled id one is fitted on. Every row of documents gives one row; null
     texts count as empty, null languages and sources as values of their own. With fewer than ten labelled rows, or one
     label only, every score is 0.5. Other columns play no part. All rows without a label that aren't held out are the
     pool of co-training.
@@ -328,7 +329,9 @@ def quality(documents: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, m
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").cast("int").alias("_label"))
     chosen = known.where(~held).orderBy(F.xxhash64(F.lit(3), F.col("doc_id")), F.col("doc_id")).limit(max_labelled).select("doc_id")
     rows, _ = store(_features(docs).join(known, "doc_id", "left"), "quality")
-    got = rows.where("_label IS NOT NULL").join(F.broadcast(chosen), "doc_id", "left_semi").orderBy("doc_id", "x").toArrow()
+    # One row for each labelled id, however often it is repeated: what reaches the driver is bounded by rows.
+    sample = rows.where("_label IS NOT NULL").join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("_label").alias("_label"))
+    got = sample.orderBy("doc_id").toArrow()
     y, model = got.column("_label").to_numpy().astype(float), None
     if len(y) >= 10 and len(set(y.tolist())) == 2:
         fold = np.array([zlib.crc32(b"fold%d" % i) % 4 == 0 for i in got.column("doc_id").to_pylist()])

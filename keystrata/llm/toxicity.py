@@ -90,7 +90,8 @@ def fit(documents: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), max_trai
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_label"))
         .withColumn("_order", F.xxhash64(F.lit(7), F.col("_id"))).orderBy("_order", "_id").limit(max_train_rows)
     )
-    rows = documents.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), "_id").select("_order", "_id", "_label", "text")
+    # One row for each chosen id, however often it is repeated: what meets in the one task is bounded by rows.
+    rows = documents.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_id").groupBy("_order", "_id", "_label").agg(F.min("text").alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):

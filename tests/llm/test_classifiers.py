@@ -1,8 +1,11 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from keystrata.llm import quality, toxicity
 
@@ -47,6 +50,37 @@ def test_toxicity_without_labels(make, spark):
     assert toxicity.toxicity(make([(1, "a b")]).limit(0), none).count() == 0
 
 
+def test_ftrl_equals_a_plain_version():
+    """The published update, one coordinate at a time in dictionaries."""
+    r = np.random.default_rng(3)
+    rows = [(np.unique(r.integers(0, 300, 20)), int(y)) for y in r.integers(0, 2, 200)]
+    p = toxicity.Ftrl()
+    kept, w, bias = toxicity.train(iter(rows), p)
+    z, n = {}, {}
+
+    def weight(i, l1):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return (math.copysign(l1, z[i]) - z[i]) / ((p.beta + math.sqrt(n[i])) / p.alpha + (p.l2 if i != "bias" else 0.0))
+
+    for _ in range(p.epochs):
+        for slots, y in rows:
+            of = {**{int(i): weight(int(i), p.l1) for i in slots}, "bias": weight("bias", 0.0)}
+            g = 1 / (1 + math.exp(-sum(of.values()))) - y
+            for i, wi in of.items():
+                s = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / p.alpha
+                z[i], n[i] = z.get(i, 0.0) + g - s * wi, n.get(i, 0.0) + g * g
+    want = {i: weight(i, p.l1) for i in z if i != "bias" and weight(i, p.l1)}
+    assert dict(zip(kept.tolist(), w.tolist(), strict=True)) == pytest.approx(want) and bias == pytest.approx(weight("bias", 0.0))
+
+
+def test_repeated_rows_are_learned_from_once(make, spark):
+    docs, labels = documents(2, 300)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once, often = ({r.doc_id: r.score for r in toxicity.toxicity(make(d), marks).collect()} for d in (docs, docs + docs[:50] * 3))
+    assert once == often
+
+
 def test_ftrl_is_sparse():
     r = np.random.default_rng(1)
     rows = [(np.unique(np.append(r.integers(10, 4000, 30), np.array([5] if y else [], np.int64))), y) for y in r.integers(0, 2, 400).tolist()]
@@ -90,14 +124,51 @@ def test_quality_without_labels(make, spark, labels):
 
 
 def test_views_teach_each_other():
+    """A view that few labels say little of learns from the other's labels of many rows, and both together are no worse."""
     r = np.random.default_rng(4)
-    y = r.integers(0, 2, 600).astype(float)
-    a, b = (y[:, None] * 2 + r.normal(size=(600, 1)) for _ in range(2))
-    fold = np.arange(600) % 4 == 0
-    model = quality.CoTrained.fit([a[:300], b[:300]], y[:300], fold[:300], [a[300:], b[300:]], sure=0.9)
-    both, each = model.scores([a[300:], b[300:]])
-    accuracy = lambda p: np.mean((p > 0.5) == y[300:])
-    assert accuracy(both) >= max(map(accuracy, each)) - 0.02 and accuracy(both) > 0.88
+    y = (r.random(4000) < 0.5).astype(float)
+    a = y[:, None] * 4 + r.normal(size=(4000, 1))
+    b = y[:, None] * r.choice([0.0, 0.5], 30) + r.normal(size=(4000, 30))
+    fold = np.arange(120) % 2 == 0
+    fit = lambda rounds: quality.CoTrained.fit([a[:120], b[:120]], y[:120], fold, [a[120:3000], b[120:3000]], rounds=rounds, sure=0.9)
+    accuracy = lambda p: np.mean((p > 0.5) == y[3000:])
+    (alone, each_alone), (both, each) = (fit(n).scores([a[3000:], b[3000:]]) for n in (0, 4))
+    assert accuracy(each[1]) > accuracy(each_alone[1]) + 0.03
+    assert accuracy(both) >= accuracy(alone) - 0.002 and accuracy(both) > 0.97
+
+
+def test_metadata_is_all_that_its_view_sees(make, spark):
+    """Rows of equal language, source and size have one metadata score, whatever their texts."""
+    docs, labels = documents(9, 400)
+    docs = [(i, t, f"s{i % 3}") for i, t in docs]
+    table = make(docs).withColumn("n_chars", F.lit(None).cast("long"))
+    marks = spark.createDataFrame([(i, q) for i, q, _ in labels[:300]], "doc_id long, quality int")
+    out = quality.quality(table, marks).join(table.select("doc_id", "source"), "doc_id").select("source", "metadata_score").distinct().collect()
+    assert len(out) == 3
+
+
+def test_query_equals_a_fit_in_memory(make, spark):
+    """The distributed sums against one array: repeated rows of a labelled id count once, all scores agree."""
+    docs, labels = documents(12, 500)
+    docs += docs[:40]
+    table = make(docs).repartition(5)
+    marks = spark.createDataFrame([(i, q) for i, q, _ in labels[:200]], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.quality(table, marks).collect()}
+    rows = quality._features(table.select("doc_id", "text", "lang", "source", "n_chars")).toArrow().to_pylist()
+    x = dict(sorted((r["doc_id"], r["x"]) for r in rows))
+    views = lambda ids: quality._unpacked(pa.array([x[i] for i in ids], pa.binary()))
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    known = [i for i in range(200) if not held(i)]
+    pool = [r for r in rows if r["doc_id"] >= 200 and not held(r["doc_id"])]
+
+    class Pool:
+        def total(self, part):
+            return part(quality._unpacked(pa.array([r["x"] for r in pool], pa.binary())), np.array([r["_tie"] for r in pool]))
+
+    fold = np.array([zlib.crc32(b"fold%d" % i) % 4 == 0 for i in known])
+    model = quality.CoTrained.fit(views(known), np.array([labels[i][1] for i in known], float), fold, Pool())
+    want = dict(zip(x, model.scores(views(x))[0], strict=True))
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-6
 
 
 def test_pool_has_no_bound(make, spark):
