@@ -9,9 +9,9 @@ reported (``rewrites``), and no loss is put on such a conversation, since its sp
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,9 +38,29 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: _PLAIN[m[1]], text)
 
 
+@lru_cache(256)
+def _line(role: str, text: str) -> str:
+    return f"### {escape(role).replace(':', chr(92) + 'c')}: {escape(text)}</turn>\n"
+
+
 def render_default(turns: Turns) -> str:
     """The default template: ``### Role: text </turn>`` lines with escaped texts."""
-    return "".join(f"### {escape(role).replace(':', chr(92) + 'c')}: {escape(text)}</turn>\n" for role, text in turns)
+    return "".join([_line(role, text) for role, text in turns])
+
+
+def shared_prefix(a: str, b: str, known: int = 0) -> int:
+    """How many characters two strings begin with in common; ``known`` is a guess of how many at least."""
+    low, high = (known if a[:known] == b[:known] else 0), min(len(a), len(b))
+    step = 16
+    while low < high:
+        n = min(step, high - low)
+        if a[low : low + n] == b[low : low + n]:
+            low, step = low + n, step * 2
+        elif n == 1:
+            break
+        else:
+            step = n // 2
+    return low
 
 
 def parse_default(formatted: str) -> Turns:
@@ -58,12 +78,12 @@ def locate(render: Callable[[Turns], str], turns: Turns) -> tuple[str, list[tupl
         now = render(turns[: k + 1])
         if not now.startswith(before):
             rewrites = True
-            shared = len(os.path.commonprefix([before, now]))
+            shared = shared_prefix(before, now)
             spans = [(min(a, shared), min(b, shared), min(c, shared), min(d, shared)) for a, b, c, d in spans]
             before = now[:shared]
         one, other = (render([*turns[:k], (role, probe)]) for probe in ("a", "b"))
-        head = len(os.path.commonprefix([one, other]))
-        tail = len(os.path.commonprefix([one[head:][::-1], other[head:][::-1]]))
+        head = shared_prefix(one, other, len(before))
+        tail = shared_prefix(one[head:][::-1], other[head:][::-1])
         spans.append((len(before), len(now), head, max(head, len(now) - tail)))
         before = now
     return before, spans, rewrites
