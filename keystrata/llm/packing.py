@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from keystrata.llm.shared import small, store
 
 CAPACITY = 2048
-#: Ranks within a length are counted over this many parts, as one length may be that of very many pieces.
-SALTS = 128
+#: Ranks within a length are counted over parts of about so many pieces, as one length may be that of very many.
+PART_PIECES, LEAST_PARTS = 50_000, 16
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 500_000
 
@@ -152,7 +152,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
     Each bin holds the longest length left and the fullest combination beside it.
     """
-    return min((_plan(counts, capacity, slack) for slack in SLACKS if slack < capacity), key=lambda x: x[0])[1]
+    least, found = -(-sum(k * v for k, v in counts.items()) // capacity), []
+    for slack in SLACKS:
+        if slack < capacity and not (found and min(found, key=lambda x: x[0])[0] == least):
+            found.append(_plan(counts, capacity, slack))
+    return min(found, key=lambda x: x[0])[1]
 
 
 def _plan(counts: dict[int, int], capacity: int, slack: int) -> tuple[int, np.ndarray]:
@@ -176,11 +180,19 @@ def _plan(counts: dict[int, int], capacity: int, slack: int) -> tuple[int, np.nd
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with sequence_id and offset; cut: stored rows with doc_id, piece, length and ids_crc32, none over capacity."""
+    """The pieces with sequence_id and offset; cut: stored rows with doc_id, piece, length and ids_crc32, none over capacity.
+
+    Sequences of one full piece have negative numbers.
+    """
     spark = cut.sparkSession
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    counts = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}
+    # A piece that fills a sequence needs no plan and no rank.
+    full = cut.where(F.col("length") == capacity).select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    full = full.withColumn("sequence_id", -1 - F.col("sequence_id"))
+    cut, counts = cut.where(F.col("length") < capacity), {k: v for k, v in counts.items() if k < capacity}
+    salts = max(LEAST_PARTS, max(counts.values(), default=0) // PART_PIECES)
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     parts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    counts = {r.length: r.n for r in parts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     table = spark.sparkContext.broadcast(plan(counts, capacity))
     before = parts.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32"))
@@ -197,7 +209,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             more = [pa.array(base + nth // each), pa.array(offset + nth % each * length)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(place, schema).unionByName(full)
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
