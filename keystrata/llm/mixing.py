@@ -19,8 +19,9 @@ from keystrata.llm.shared import store
 
 #: Bisection steps, and how many of them one pass over the sources evaluates.
 STEPS, AT_ONCE = 20, 5
-#: Slices of a permutation, by the first hexadecimal digits of the documents' digests.
-SLICE_DIGITS = 3
+#: Slices of a permutation, by the first hexadecimal digits of the documents' digests: as many as make a slice of the
+#: largest source about so many documents.
+SLICE_ROWS, LEAST_DIGITS, MOST_DIGITS = 4096, 2, 6
 
 
 def token_count(text: Column) -> Column:
@@ -66,7 +67,12 @@ def exponent(sources: DataFrame, entropy: float | None = None, max_repeat: float
 
 def digest(seed: int, epoch: Column, doc_id: Column) -> Column:
     """Decides a document's place in a permutation."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), doc_id).cast("binary"))
+
+
+def _named(doc_id: Column, text: Column) -> Column:
+    """What a document is known by: its id, or its text's digest if that is null, so that such rows have places of their own."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
 
 
 #: Columns that ``mix`` appends.
@@ -79,15 +85,16 @@ def mix(documents: DataFrame, entropy: float | None = None, max_repeat: float |
     ``budget`` counts tokens; by default it is the least at which every source is used whole at least once, so that
     nothing is lost. ``_order`` in [0, 1) spreads each source evenly over the mixture. A null source is a source of its
     own; documents without tokens follow their source's whole permutations and stand in none of the parts (once, if
-    the source has no tokens at all). Repeated rows and null ids are documents like others, but share a place in the
-    permutation with those of the same id.
+    the source has no tokens at all). Repeated rows are documents like others, but share a place in the permutation with
+    those of the same id, and those without an id with those of the same text.
     """
     columns = [c for c in documents.columns if c not in ADDED]
     source = F.when(F.col("source").isNull(), F.lit("null:")).otherwise(F.concat(F.lit("source:"), F.col("source").cast("string")))
-    docs = documents.select(*columns, source.alias("_mx_source"), token_count(F.col("text")).alias("_mx_tokens"))
-    slim, _ = store(docs.select(F.col("doc_id").alias("_mx_id"), "_mx_source", "_mx_tokens"), "tokens")
-    sums, _ = store(slim.groupBy("_mx_source").agg(F.sum("_mx_tokens").alias("_mx_available")), "sources")
-    total = sums.agg(F.coalesce(F.sum("_mx_available"), F.lit(0))).first()[0]
+    docs = documents.select(*columns, source.alias("_mx_source"), token_count(F.col("text")).alias("_mx_tokens"), _named(F.col("doc_id"), F.col("text").cast("string")).alias("_mx_id"))
+    slim, _ = store(docs.select("_mx_id", "_mx_source", "_mx_tokens"), "tokens")
+    sums, _ = store(slim.groupBy("_mx_source").agg(F.sum("_mx_tokens").alias("_mx_available"), F.count("*").alias("_mx_rows")), "sources")
+    total, most = sums.agg(F.coalesce(F.sum("_mx_available"), F.lit(0)), F.coalesce(F.max("_mx_rows"), F.lit(0))).first()
+    digits = min(MOST_DIGITS, max(LEAST_DIGITS, math.ceil(math.log(max(1, most / SLICE_ROWS), 16))))
     shares = sums.where("_mx_available > 0").withColumn("share", F.col("_mx_available") / F.lit(float(max(total, 1))))
     a = exponent(shares, entropy, max_repeat)
     # A source is repeated weight * budget / available times: by default the largest, which is repeated least, once.
@@ -100,7 +107,7 @@ def mix(documents: DataFrame, entropy: float | None = None, max_repeat: float |
     )
 
     # The part: sums over slices of the permutation find the slice in which a source's rest ends, ranks in it the place.
-    tagged = slim.join(plan, "_mx_source").where("_mx_rest > 0 AND _mx_tokens > 0").withColumn("_mx_key", digest(seed, F.col("_mx_whole"), F.col("_mx_id"))).withColumn("_mx_slice", F.substring("_mx_key", 1, SLICE_DIGITS))
+    tagged = slim.join(plan, "_mx_source").where("_mx_rest > 0 AND _mx_tokens > 0").withColumn("_mx_key", digest(seed, F.col("_mx_whole"), F.col("_mx_id"))).withColumn("_mx_slice", F.substring("_mx_key", 1, digits))
     slices, _ = store(tagged.groupBy("_mx_source", "_mx_slice").agg(F.sum("_mx_tokens").alias("held"), F.max("_mx_rest").alias("rest")), "slices")
     slices = slices.withColumn("before", F.sum("held").over(Window.partitionBy("_mx_source").orderBy("_mx_slice")) - F.col("held"))
     last, _ = store(slices.where("before < rest AND before + held >= rest").select("_mx_source", "_mx_slice", "before"), "last")
@@ -112,11 +119,11 @@ def mix(documents: DataFrame, entropy: float | None = None, max_repeat: float |
 
     placed = docs.join(placing, "_mx_source", "left")
     whole, copies = F.coalesce("_mx_whole", F.lit(1)), F.coalesce("_mx_copies", F.lit(1.0))
-    part = digest(seed, whole, F.col("doc_id"))
-    in_part = (F.col("_mx_rest") > 0) & (F.col("_mx_tokens") > 0) & ((F.substring(part, 1, SLICE_DIGITS) < F.col("_mx_edge")) | (part <= F.coalesce("_mx_last", F.lit(""))))
+    part = digest(seed, whole, F.col("_mx_id"))
+    in_part = (F.col("_mx_rest") > 0) & (F.col("_mx_tokens") > 0) & ((F.substring(part, 1, digits) < F.col("_mx_edge")) | (part <= F.coalesce("_mx_last", F.lit(""))))
     times = whole + F.coalesce(in_part, F.lit(False)).cast("int")
     used = placed.withColumn("_mx_times", times).where("_mx_times > 0").withColumn("_mx_epoch", F.explode(F.expr("sequence(0, _mx_times - 1)")))
-    fraction = F.conv(F.substring(digest(seed, F.col("_mx_epoch"), F.col("doc_id")), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+    fraction = F.conv(F.substring(digest(seed, F.col("_mx_epoch"), F.col("_mx_id")), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
     order = F.least((F.col("_mx_epoch") + fraction) / F.greatest(copies, F.lit(1e-9)), F.lit(1 - 1e-9))
     found = (F.expr("CASE WHEN _mx_source LIKE 'source:%' THEN substring(_mx_source, 8) END"), F.col("_mx_tokens"), F.col("_mx_epoch"), copies, F.coalesce("_mx_weight", F.lit(0.0)), order)
     return used.select(*(F.col(f"`{c}`") for c in columns), *(x.alias(c) for x, c in zip(found, ADDED, strict=True)))
