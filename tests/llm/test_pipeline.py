@@ -17,7 +17,7 @@ def folder(spark, make, tmp_path_factory):
     docs, labels = [], []
     for i in range(400):
         w = r.choices(words, k=r.choice([12, 60, 150]))
-        toxic = i % 10 == 0
+        toxic = i % 5 == 0
         if toxic:
             w[3:3] = ["grobian", "vilain"]
         if i % 11 == 1:
@@ -64,7 +64,7 @@ def test_equals_brute_force(spark, folder):
             assert offset == at
             at += length
         assert at <= 2048
-    assert len(seqs) <= brute.first_fit_decreasing([r.length for r in out], 2048) + 1
+    assert len(seqs) <= -(-sum(r.length for r in out) // 2048) + 1
 
 
 def test_stages_keep_the_columns(spark, folder):
