@@ -252,14 +252,16 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Reads JSON lines. The last line of a file may be torn and is left out; one elsewhere is an error when it is read."""
+    """Reads JSON lines. The last line of a file may be torn and is left out; one elsewhere is an error."""
     fields = StructType.fromDDL(schema)
-    lines = spark.read.text(path, wholetext=True).select(F.split("value", "\n").alias("l"))
-    last = F.size("l") - 1  # what follows the last line feed: empty, or a line whose end was never written
-    each = lines.select(F.posexplode("l").alias("at", "line"), last.alias("last")).where("at < last OR line <> ''")
     full = StructType([*fields.fields]).add("_corrupt_record", "string")
-    parsed = each.select("at", "last", F.from_json("line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
-    torn = F.col("r._corrupt_record").isNotNull()
-    kept = parsed.where(~torn | (F.col("at") < F.col("last")))
-    checked = F.when(torn, F.raise_error(F.concat(F.lit("corrupt log line: "), F.col("r._corrupt_record"))).cast(fields)).otherwise(F.struct(*(F.col(f"r.`{f.name}`") for f in fields)))
-    return kept.select(checked.alias("r")).select("r.*")
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place")).where("value <> ''")
+    parsed = lines.withColumn("r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    torn = parsed.where("r._corrupt_record IS NOT NULL").select("file", "place")
+    if not torn.isEmpty():
+        last = lines.groupBy("file").agg(F.max("place").alias("last"))
+        wrong = torn.join(last, "file").where("place < last").first()
+        if wrong:
+            raise ValueError(f"corrupt log line inside {wrong.file}")
+    return parsed.where("r._corrupt_record IS NULL").select(*(F.col(f"r.`{f.name}`") for f in fields))
