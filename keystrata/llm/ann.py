@@ -26,8 +26,9 @@ CODEBOOKS, WORDS, BEAM = 24, 256, 4
 SHORTLIST = 160
 #: Bytes of query vectors that may be broadcast; above, they are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-#: Queries whose table sums are made at once.
-GROUP = 256
+#: Queries whose table sums are made at once, and lists of a block that are merged at once.
+GROUP, MERGED = 256, 8
+PACKED = "d int, _block int, _chunk int, lists binary"
 
 
 class AdditiveQuantiser:
@@ -142,8 +143,12 @@ def search(index: DataFrame, quantisers: dict[int, AdditiveQuantiser], queries:
     asked, _ = store(usable(queries, False).withColumn("d", F.size("v")), "queries")
     shared = spark.sparkContext.broadcast(quantisers)
     coded = rows.select("vec_id", "codes", "ratio", "d", F.when(F.col("codes").isNull(), F.col("v")).alias("v"))
-    found = meet(coded, asked, ["vec_id"], _ranker(shared, shortlist), "query_id bigint, vec_id bigint, guess float")
-    short, _ = store(best_of(found, shortlist, "guess").select("query_id", "vec_id"), "shortlist")
+    packed, _ = store(meet(coded, asked, ["vec_id"], _ranker(shared, shortlist), PACKED), "lists")
+    last = packed.agg(F.coalesce(F.max("_chunk"), F.lit(0))).first()[0]
+    while last:
+        packed = packed.withColumn("_chunk", F.expr(f"_chunk DIV {MERGED}").cast("int")).groupBy("d", "_block", "_chunk").applyInArrow(_merged, PACKED)
+        last //= MERGED
+    short, _ = store(packed.mapInArrow(_unpacked, "query_id bigint, vec_id bigint"), "shortlist")
 
     vectors = asked.groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("d", "v")).alias("q")).select("query_id", F.col("q.v").alias("q"))
     bytes_ = asked.agg(F.coalesce(F.sum("d") * 8, F.lit(0))).first()[0]
@@ -163,14 +168,61 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("ids"), batch.column("vec_id"), pa.array(score)], names=["query_id", "ids", "vec_id", "score"])
 
 
+class Lists:
+    """The ``keep`` best rows of each query, (guess, id) with larger guesses and then smaller ids first, in one row of a table."""
+
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, guess: np.ndarray):
+        self.queries, self.ids, self.guess = queries, ids, guess
+
+    @classmethod
+    def of(cls, queries: np.ndarray, which: np.ndarray, ids: np.ndarray, guess: np.ndarray, keep: int) -> Lists:
+        """From rows (place of the query in queries, id, guess) in any order."""
+        order = np.lexsort((ids, -guess, which))
+        which, ids, guess = which[order], ids[order], guess[order]
+        place = np.arange(len(which)) - np.searchsorted(which, which)
+        which, ids, guess, place = (x[place < keep] for x in (which, ids, guess, place))
+        out = cls(queries, np.full((len(queries), keep), -1), np.full((len(queries), keep), -np.inf, np.float32))
+        out.ids[which, place], out.guess[which, place] = ids, guess
+        return out
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        which, at = np.nonzero(self.guess > -np.inf)
+        return which, self.ids[which, at], self.guess[which, at]
+
+    def packed(self) -> bytes:
+        head = np.array([len(self.queries), self.ids.shape[1]])
+        return b"".join(x.astype(t).tobytes() for x, t in ((head, "<i8"), (self.queries, "<i8"), (self.ids, "<i8"), (self.guess, "<f4")))
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Lists:
+        n, keep = np.frombuffer(blob, "<i8", 2)
+        queries, ids = np.frombuffer(blob, "<i8", n, 16), np.frombuffer(blob, "<i8", n * keep, 16 + 8 * n)
+        return cls(queries, ids.reshape(n, keep), np.frombuffer(blob, "<f4", n * keep, 16 + 8 * n * (1 + keep)).reshape(n, keep))
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """One row of lists from those of some chunks, which hold the same queries."""
+    lists = [Lists.unpacked(x) for x in table.column("lists").to_pylist()]
+    which, ids, guess = (np.concatenate(x) for x in zip(*(x.rows() for x in lists), strict=True))
+    made = Lists.of(lists[0].queries, which, ids, guess, lists[0].ids.shape[1])
+    return table.slice(0, 1).drop_columns("lists").append_column("lists", pa.array([made.packed()], pa.binary())).select(["d", "_block", "_chunk", "lists"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small(batches):
+        for blob in batch.column("lists").to_pylist():
+            lists = Lists.unpacked(blob)
+            which, ids, _ = lists.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(lists.queries[which]), pa.array(ids)], names=["query_id", "vec_id"])
+
+
 def _ranker(shared, shortlist: int):
-    """The shortlist best rows of a chunk for each query of a block, by table sums."""
+    """The shortlist best rows of a chunk for each query of a block, by table sums, as one row."""
 
     def task(some: pa.Table, asks: pa.Table) -> pa.Table:
+        asks = asks.take(pa.array(np.argsort(asks.column("vec_id").to_numpy(), kind="stable")))
         q_ids, q, ids = asks.column("vec_id").to_numpy(), matrix(asks, "v"), some.column("vec_id").to_numpy()
-        some = some.take(pa.array(order := np.argsort(ids, kind="stable")))
-        ids, quantiser = ids[order], shared.value.get(q.shape[1])
-        ratio = some.column("ratio").to_numpy()
+        quantiser, ratio = shared.value.get(q.shape[1]), some.column("ratio").to_numpy()
         codes = None if quantiser is None else np.frombuffer(b"".join(some.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
         keep, out = min(shortlist, len(ids)), []
         for a in range(0, len(q), GROUP):
@@ -186,10 +238,11 @@ def _ranker(shared, shortlist: int):
                     total += lut[m][words]
                 guess[b : b + ROWS] = total * ratio[b : b + ROWS, None]
             guess = np.ascontiguousarray(guess.T)
-            # All that reach the last guess kept: ties at the edge are cut by id once all chunks' rows are together.
             edge = np.partition(guess, len(ids) - keep, axis=1)[:, len(ids) - keep]
             which, at = np.nonzero(guess >= edge[:, None])
-            out.append((q_ids[a : a + GROUP][which], ids[at], guess[which, at]))
-        return pa.table({n: np.concatenate(x) for n, x in zip(("query_id", "vec_id", "guess"), zip(*out, strict=True), strict=True)})
+            out.append((which + a, ids[at], guess[which, at]))
+        lists = Lists.of(q_ids, *(np.concatenate(x) for x in zip(*out, strict=True)), shortlist)
+        where = [pa.array([asks.column(c)[0].as_py()], pa.int32()) for c in ("d", "_block", "_chunk")]
+        return pa.table([*where, pa.array([lists.packed()], pa.binary())], names=["d", "_block", "_chunk", "lists"])
 
     return task

@@ -39,6 +39,7 @@ def meet(rows: DataFrame, queries: DataFrame, key: list[str], task: Callable[[pa
 
     rows: columns ``key`` tells apart and ``d``, the vector's length; queries: (vec_id, v, d). Nothing passes the driver;
     what is shuffled is the rows once for each block and the queries once for each chunk, so both come in large pieces.
+    ``task`` finds the numbers of both in the columns _chunk and _block.
     """
     asked = queries.groupBy("vec_id").agg(F.min(F.struct("d", "v")).alias("q")).select("vec_id", "q.v", "q.d")
     chunks = max(1, -(-rows.count() // CHUNK_ROWS))
@@ -57,7 +58,7 @@ def meet(rows: DataFrame, queries: DataFrame, key: list[str], task: Callable[[pa
 
 
 def _none(schema: str) -> pa.Table:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32()}
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "binary": pa.binary()}
     return pa.table({n: pa.array([], kinds[t]) for n, t in (x.split() for x in schema.split(", "))})
 
 
