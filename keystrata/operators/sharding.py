@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from keystrata.functions.values import in_range
 from keystrata.operators.scan import nth_key, nth_keys
+from keystrata.sources.store import cut_lineage
 
 #: Past this many shards ownership is found by a range join instead of an expression.
 MANY = 2000
@@ -148,10 +149,11 @@ class Router:
         self.store.write(self.MANIFEST, self.spark.createDataFrame(rows, "shard string, start string, end string, relation string"))
 
     def load(self, rows: DataFrame) -> None:
-        """Puts a DataFrame of (key, value) in, each key once: one pass, and one part for each shard that gets rows."""
-        owned = assign(rows.where("key IS NOT NULL"), "key", self.manifest)
+        """Puts a DataFrame of (key, value) in, each key once. It is sorted once; each shard then reads its own range of files."""
+        ordered = rows.where("key IS NOT NULL").select("key", "value", F.lit(False).alias("_dead"))
+        ordered = cut_lineage(ordered.repartitionByRange("key").sortWithinPartitions("key"))
         for s in self.manifest.shards:
-            self.store.append(self.relation[s.id], owned.where(in_range(F.col("key"), s.start, s.end)).select("key", "value", F.lit(False).alias("_dead")))
+            self.store.append(self.relation[s.id], range_scan(ordered, "key", s.start, s.end))
 
     def put_all(self, changes: list[tuple[str, str | None]]) -> None:
         """Writes pairs in order, a value of None deleting its key: one part for each shard."""
