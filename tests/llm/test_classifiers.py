@@ -191,7 +191,7 @@ def test_pool_has_no_bound(make, spark):
 
 def test_stored_pool_adds_up_as_one_in_memory(make, spark):
     docs, _ = documents(6, 300)
-    rows = quality._features(make(docs).repartition(3)).drop("doc_id").localCheckpoint()
+    rows, _ = quality.store(quality._features(make(docs).repartition(3)).drop("doc_id"), "pool")
     got = rows.toArrow()
     views = quality._unpacked(got.column("x"))
     part = quality._moments([v.mean(0) for v in views])
