@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keystrata.functions.values import column_between, column_equals
 
 #: Bins into which keys are split for ranks, so that no task orders them all, and rows of the sample for each.
-LEAST_BINS, MOST_BINS, BIN_ROWS, SAMPLE = 64, 1024, 500_000, 64
+MOST_BINS, BIN_ROWS, SAMPLE = 1024, 100_000, 64
 
 
 def project(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -55,14 +55,16 @@ def _binned(df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
     """Rows with ``_bin`` by ascending bounds, and the rows in each bin.
 
     Bounds are quantiles of a sample of rows, so that a key of many rows is a bin of its own; it has SAMPLE rows for each
-    bin, and there is a bin for each BIN_ROWS rows, between LEAST_BINS and MOST_BINS. Ranks are exact whatever the sample.
+    bin, and there is a bin for each BIN_ROWS rows, MOST_BINS at most. Ranks are exact whatever the sample.
     """
     rows = df.count()
-    bins = min(MOST_BINS, max(LEAST_BINS, -(-rows // BIN_ROWS)))
-    share = min(1.0, bins * SAMPLE / max(1, rows))
-    sample = df.select(key.alias("k")).where("k IS NOT NULL")
-    keys = sorted(r.k for r in (sample.sample(share, seed=7) if share < 1 else sample).collect())
-    bounds = sorted({keys[len(keys) * i // bins] for i in range(1, bins)}) if keys else []
+    bins = min(MOST_BINS, max(1, -(-rows // BIN_ROWS)))
+    bounds = []
+    if bins > 1:
+        share = min(1.0, bins * SAMPLE / rows)
+        sample = df.select(key.alias("k")).where("k IS NOT NULL")
+        keys = sorted(r.k for r in (sample.sample(share, seed=7) if share < 1 else sample).collect())
+        bounds = sorted({keys[len(keys) * i // bins] for i in range(1, bins)}) if keys else []
     binned = df.withColumn("_bin", _bin_of(key, bounds, 0))
     return binned, binned.groupBy("_bin").agg(F.count("*").alias("_rows"))
 

@@ -49,6 +49,20 @@ def test_rank_and_place_in_key_order(spark, t):
     assert scan.nth_key(t.limit(0), "id", 0) is None
 
 
+def test_bins_of_hot_keys(spark, monkeypatch):
+    """Many bins of few rows, a third of which hold one key; nulls come first."""
+    monkeypatch.setattr(scan, "BIN_ROWS", 25)
+    keys = [None if i % 41 == 0 else 777 if i % 3 == 0 else i * 37 % 1000 for i in range(900)]
+    df = spark.createDataFrame([(k,) for k in keys], "id long").repartition(5)
+    binned, counts = scan._binned(df, F.col("id").cast("string"))
+    sizes = {r["_bin"]: r["_rows"] for r in counts.collect()}
+    assert len(sizes) > 12 and sorted(sizes.values())[-2] < 160
+    got = [(r.key_rank, r.id) for r in scan.key_rank(df, "id").collect()]
+    assert [k for _, k in sorted(got)] == sorted(keys, key=lambda k: (k is not None, str(k))) and [n for n, _ in sorted(got)] == list(range(1, 901))
+    there = sorted(str(k) for k in keys if k is not None)
+    assert [scan.nth_key(df, "id", n) for n in (0, 400, len(there) - 1, len(there))] == [there[0], there[400], there[-1], None]
+
+
 def test_unknown_columns(t, spark, rows):
     with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
         scan.project(t, ["nope"]).collect()
