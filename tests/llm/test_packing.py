@@ -33,6 +33,22 @@ def test_words_encode_as_the_library_does():
         assert np.frombuffer(coded, "<u4").tolist() == ids(text)[:-1], text
 
 
+def test_fresh_words_are_encoded_as_one_text(monkeypatch):
+    coder, calls = packing.Encoder(PATH), []
+    encode = coder._library
+    monkeypatch.setattr(coder, "_library", lambda texts: calls.append(len(texts)) or encode(texts))
+    text = " ".join(f"w{k} it's ({k})-é" for k in range(300))
+    assert np.frombuffer(next(coder.encode([text])), "<u4").tolist() == ids(text)[:-1]
+    assert calls == [1]
+
+
+def test_words_without_a_mark_of_their_end():
+    """Where ids don't tell where words end, each word is encoded alone."""
+    coder = packing.Encoder(PATH)
+    coder.ends[:] = False
+    assert np.frombuffer(next(coder.encode(["some words, it's"])), "<u4").tolist() == ids("some words, it's")[:-1]
+
+
 def test_added_tokens_keep_their_ids():
     coded = next(packing.Encoder(PATH).encode(["a <|endoftext|> b"]))
     assert np.frombuffer(coded, "<u4").tolist() == [320, 49407, 321]
