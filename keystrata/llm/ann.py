@@ -26,9 +26,9 @@ CODEBOOKS, WORDS, BEAM = 24, 256, 4
 SHORTLIST = 160
 #: Bytes of query vectors that may be broadcast; above, they are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-#: Queries whose table sums are made at once, and lists of a block that are merged at once.
+#: Queries whose table sums are made at once and whose lists are a row, and such rows of several chunks that are merged at once.
 GROUP, MERGED = 256, 8
-PACKED = "d int, _block int, _chunk int, lists binary"
+PACKED = "d int, _block int, _part int, _chunk int, lists binary"
 
 
 class AdditiveQuantiser:
@@ -146,7 +146,7 @@ def search(index: DataFrame, quantisers: dict[int, AdditiveQuantiser], queries:
     packed, _ = store(meet(coded, asked, ["vec_id"], _ranker(shared, shortlist), PACKED), "lists")
     last = packed.agg(F.coalesce(F.max("_chunk"), F.lit(0))).first()[0]
     while last:
-        packed = packed.withColumn("_chunk", F.expr(f"_chunk DIV {MERGED}").cast("int")).groupBy("d", "_block", "_chunk").applyInArrow(_merged, PACKED)
+        packed = packed.withColumn("_chunk", F.expr(f"_chunk DIV {MERGED}").cast("int")).groupBy("d", "_block", "_part", "_chunk").applyInArrow(_merged, PACKED)
         last //= MERGED
     short, _ = store(packed.mapInArrow(_unpacked, "query_id bigint, vec_id bigint"), "shortlist")
 
@@ -205,7 +205,7 @@ def _merged(table: pa.Table) -> pa.Table:
     lists = [Lists.unpacked(x) for x in table.column("lists").to_pylist()]
     which, ids, guess = (np.concatenate(x) for x in zip(*(x.rows() for x in lists), strict=True))
     made = Lists.of(lists[0].queries, which, ids, guess, lists[0].ids.shape[1])
-    return table.slice(0, 1).drop_columns("lists").append_column("lists", pa.array([made.packed()], pa.binary())).select(["d", "_block", "_chunk", "lists"])
+    return table.slice(0, 1).drop_columns("lists").append_column("lists", pa.array([made.packed()], pa.binary())).select(["d", "_block", "_part", "_chunk", "lists"])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +217,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ranker(shared, shortlist: int):
-    """The shortlist best rows of a chunk for each query of a block, by table sums, as one row."""
+    """The shortlist best rows of a chunk for each query of a block, by table sums, as a row for each GROUP of queries."""
 
     def task(some: pa.Table, asks: pa.Table) -> pa.Table:
         asks = asks.take(pa.array(np.argsort(asks.column("vec_id").to_numpy(), kind="stable")))
@@ -240,9 +240,8 @@ def _ranker(shared, shortlist: int):
             guess = np.ascontiguousarray(guess.T)
             edge = np.partition(guess, len(ids) - keep, axis=1)[:, len(ids) - keep]
             which, at = np.nonzero(guess >= edge[:, None])
-            out.append((which + a, ids[at], guess[which, at]))
-        lists = Lists.of(q_ids, *(np.concatenate(x) for x in zip(*out, strict=True)), shortlist)
-        where = [pa.array([asks.column(c)[0].as_py()], pa.int32()) for c in ("d", "_block", "_chunk")]
-        return pa.table([*where, pa.array([lists.packed()], pa.binary())], names=["d", "_block", "_chunk", "lists"])
+            out.append(Lists.of(q_ids[a : a + GROUP], which, ids[at], guess[which, at], shortlist).packed())
+        d, block, chunk = (pa.array([asks.column(c)[0].as_py()] * len(out), pa.int32()) for c in ("d", "_block", "_chunk"))
+        return pa.table([d, block, pa.array(range(len(out)), pa.int32()), chunk, pa.array(out, pa.binary())], names=["d", "_block", "_part", "_chunk", "lists"])
 
     return task

@@ -124,6 +124,27 @@ def test_recall_on_the_table(spark):
         assert len(got) == len(want) and len(got & want) >= least * len(want)
 
 
+def test_lists_are_rows_of_bounded_size():
+    """A block's lists are a row for each group of queries, so that merging holds few of them, however large the block."""
+    import pyarrow as pa
+
+    class Shared:
+        value: dict = {}
+
+    r, n, k = np.random.default_rng(2), 2 * ann.GROUP + 9, 20
+    q, v = r.integers(-9, 9, (n, 4)).astype(float), r.integers(-9, 9, (300, 4)).astype(float)
+    asks = pa.table({"vec_id": pa.array(r.permutation(n)), "v": pa.array(list(q)), "d": pa.array([4] * n), "_block": pa.array([3] * n), "_chunk": pa.array([1] * n)})
+    some = pa.table({"vec_id": pa.array(np.arange(300)), "v": pa.array(list(v)), "codes": pa.nulls(300, pa.binary()), "ratio": pa.array(np.ones(300, np.float32))})
+    out = ann._ranker(Shared, k)(some, asks)
+    assert out.column("_part").to_pylist() == [0, 1, 2] and out.column("_block").to_pylist() == [3] * 3
+    assert max(map(len, out.column("lists").to_pylist())) <= 16 + ann.GROUP * (8 + 12 * k)
+    lists = [ann.Lists.unpacked(x) for x in out.column("lists").to_pylist()]
+    assert np.concatenate([x.queries for x in lists]).tolist() == list(range(n))
+    place = np.argsort(asks.column("vec_id").to_numpy())
+    want = [np.lexsort((np.arange(300), -(v @ q[i])))[:k].tolist() for i in place]
+    assert np.concatenate([x.ids for x in lists]).tolist() == want
+
+
 def test_ann_of_nothing(spark):
     t = table(spark, BAD[:5])
     quantisers, index = ann.build(t)
